@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .components import components
+from .sentences import sentences
 from .survivors import Candidate, half_life_decay, linear_decay, pick_columns, rank_trust, survivors
 
 P1_FIELDS = ["created", "modified", "thumbnail", "master"]
@@ -75,7 +76,11 @@ def p3_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found}
 
 _LINKED = """
 WITH RECURSIVE edges AS (
