@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .components import components
+from .contamination import leaked
 from .sentences import sentences
+from .splitting import split_texts
 from .survivors import Candidate, half_life_decay, linear_decay, pick_columns, rank_trust, survivors
 
 P1_FIELDS = ["created", "modified", "thumbnail", "master"]
@@ -80,7 +82,33 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found}
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    """Pieces of the documents by the settings of their source."""
+    settings = table(spark, sf_dir, "swarm_configs").groupBy("source").agg(F.min_by(F.struct("chunk_size", F.coalesce("overlap", "chunk_overlap").alias("overlap"), "min_chunk_size"), "config_id").alias("set"))
+    docs = table(spark, sf_dir, "documents").join(settings, "source", "left")
+    return split_texts(docs, "doc_id", "text", F.coalesce("set.chunk_size", F.lit(1024)), F.coalesce("set.overlap", F.lit(128)), F.coalesce("set.min_chunk_size", F.lit(64)), with_text)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = _pieces(spark, sf_dir, with_text=False)
+    return cuts.groupBy("doc_id").agg(F.when(F.max(F.col("cut") == "character"), "forced").otherwise("natural").alias("cut"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves, with their texts."""
+    return _pieces(spark, sf_dir, with_text=True)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=40, errors=0)
+
+
+def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of 60 letters and digits with up to three of them changed, added or lost."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=60, errors=3)
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_found": p9_found, "p9_edited": p9_edited}
 
 _LINKED = """
 WITH RECURSIVE edges AS (
@@ -110,5 +138,12 @@ SELECT group_id, field, file_id FROM (
   SELECT *, row_number() OVER (PARTITION BY group_id, field ORDER BY known DESC, trust_rank, indexed_at DESC, file_id) AS rn
   FROM long WHERE group_id IN (SELECT group_id FROM big)) WHERE rn = 1""",
     "p3_found": _LINKED + "SELECT file_id, group_id FROM linked",
+    "p4_found": r"""
+WITH sized AS (
+  SELECT d.doc_id, d.text, coalesce(c.chunk_size, 1024) AS n FROM documents d LEFT JOIN swarm_configs c ON d.source = c.source),
+large AS (SELECT * FROM sized WHERE strlen(text) > n),
+longest AS (
+  SELECT doc_id, max(strlen(part)) AS bytes FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r。！？]')) AS part FROM large) GROUP BY doc_id)
+SELECT l.doc_id, CASE WHEN g.bytes > l.n THEN 'forced' ELSE 'natural' END AS cut FROM large l JOIN longest g ON g.doc_id = l.doc_id""",
     "p3_group_sizes": _LINKED + "SELECT group_id, count(*) AS files FROM linked GROUP BY 1",
 }
