@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import table, written
 from .components import components
 from .contamination import leaked
+from .near_duplicates import near_pairs
 from .sentences import sentences
 from .splitting import split_texts
 from .survivors import Candidate, half_life_decay, linear_decay, pick_columns, rank_trust, survivors
@@ -99,6 +100,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, with_text=True)
 
 
+def _near_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(table(spark, sf_dir, "files"), "file_id", "path", "size", least=0.75, size_ratio=(9, 10), width=3)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_files(spark, sf_dir).select(F.col("key_a").alias("file_id_a"), F.col("key_b").alias("file_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with a near-duplicate, its group and its number of links."""
+    pairs, _ = written(_near_files(spark, sf_dir).select("key_a", "key_b"), "near")
+    links = pairs.select(F.explode(F.array("key_a", "key_b")).alias("file_id")).groupBy("file_id").agg(F.count("*").alias("links"))
+    groups = components(pairs, "key_a", "key_b").select(F.col("node").alias("file_id"), F.col("component").alias("group_id"))
+    return groups.join(links, "file_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=40, errors=0)
 
@@ -108,7 +125,7 @@ def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=60, errors=3)
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_found": p9_found, "p9_edited": p9_edited}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_edited": p9_edited}
 
 _LINKED = """
 WITH RECURSIVE edges AS (
