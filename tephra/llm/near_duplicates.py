@@ -209,11 +209,10 @@ def near_pairs(
     at = F.floor(F.log("size") / width_ln).cast("int")
     above = F.floor((F.log("size") + reach) / width_ln).cast("int")
     ranges = rows.withColumn("g", F.explode(F.when(above > at, F.array(at, above)).otherwise(F.array(at)))).withColumn("home", F.col("g") == at)
-    many = [r["g"] for r in ranges.groupBy("g").count().where(F.col("count") > group_rows).collect()]
-    calm, busy = (ranges.where(~F.col("g").isin(many)), ranges.where(F.col("g").isin(many))) if many else (ranges, None)
+    counts = {r["g"]: r["count"] for r in ranges.groupBy("g").count().where(F.col("count") > group_rows).collect()}
+    calm, busy = (ranges.where(~F.col("g").isin(*counts)), ranges.where(F.col("g").isin(*counts))) if counts else (ranges, None)
     grouped = calm.select("g", F.lit(-1).alias("band"), F.lit(0).alias("part"), "id", "text", "size", "home")
     if busy is not None:
-        counts = {r["g"]: r["count"] for r in ranges.where(F.col("g").isin(many)).groupBy("g").count().collect()}
         parts = {g: max(1, math.ceil(n / group_rows) * 2) for g, n in counts.items()}
 
         def spread(batches):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..runtime import table, written
 from .components import components
 from .contamination import leaked
 from .near_duplicates import near_pairs
+from .packing import pack
 from .sentences import sentences
 from .splitting import split_texts
 from .survivors import Candidate, half_life_decay, linear_decay, pick_columns, rank_trust, survivors
@@ -116,6 +119,23 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.join(links, "file_id")
 
 
+#: A public byte-level BPE; its path may be set for a cluster that keeps it elsewhere.
+VOCABULARY = os.environ.get("TEPHRA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts, whole or in parts, share which window of context_tokens of their source."""
+    settings = table(spark, sf_dir, "swarm_configs").groupBy("source").agg(F.min_by("context_tokens", "config_id").alias("context_tokens"))
+    docs = table(spark, sf_dir, "documents").join(settings, "source", "left")
+    return pack(docs, "doc_id", "text", "source", docs["context_tokens"], VOCABULARY)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, tokens and filled share of each source."""
+    per = p8_windows(spark, sf_dir).groupBy("source", "capacity", "block", "window").agg(F.sum("tokens").alias("tokens"))
+    return per.groupBy("source", "capacity").agg(F.count("*").alias("windows"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.sum("capacity"), 6).alias("filled"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=40, errors=0)
 
@@ -125,7 +145,7 @@ def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=60, errors=3)
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_edited": p9_edited}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edited": p9_edited}
 
 _LINKED = """
 WITH RECURSIVE edges AS (
