@@ -22,7 +22,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Darts:
-    """Parameters of the signatures: ``bands`` of ``rows`` coordinates each, ``density`` darts per unit of weight and slab of rank."""
+    """Parameters of the signatures: ``bands`` of ``rows`` coordinates each, ``density`` darts per unit of weight and slab of rank.
+
+    The coordinates are laid out twice, once running along the bands and once across them, so there are
+    2 * ``bands`` bands in all.
+    """
 
     bands: int = 16
     rows: int = 4
@@ -88,8 +92,10 @@ class Darts:
 
     def band_hashes(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit hash per record and band."""
-        grouped = signature.reshape(len(signature), self.bands, self.rows)
-        h = np.zeros(grouped.shape[:2], _U) + _mix(np.arange(1, self.bands + 1, dtype=_U))
+        along = signature.reshape(len(signature), self.bands, self.rows)
+        across = signature.reshape(len(signature), self.rows, self.bands).transpose(0, 2, 1)
+        grouped = np.concatenate([along, across], axis=1)
+        h = np.zeros(grouped.shape[:2], _U) + _mix(np.arange(1, 2 * self.bands + 1, dtype=_U))
         for i in range(self.rows):
             h = _mix(h ^ grouped[:, :, i])
         return h
@@ -145,7 +151,7 @@ def _pairs(ids: list, texts: list[str], size: np.ndarray, home: np.ndarray, band
     sets: dict[int, frozenset] = {}
     # Fewer equal coordinates than this a pair at the threshold has with a chance below one in a million.
     agree = darts.k * least - 5 * math.sqrt(darts.k * least * (1 - least))
-    for b in range(darts.bands) if band < 0 else (band,):
+    for b in range(2 * darts.bands) if band < 0 else (band,):
         value = hashes[:, b].copy()
         rows = np.flatnonzero(full)
         left, right = _within(value[rows], size[rows], ratio)
@@ -183,9 +189,9 @@ def near_pairs(
     Similarity is the Jaccard similarity of the texts' sets of ``width``-character substrings. Signatures are
     made by DartMinHash: hashed darts are thrown into each element's region of weight and rank, hashed to a
     coordinate, and the earliest dart of each coordinate kept. Records that agree on all ``rows`` coordinates
-    of one of ``bands`` bands are candidates; what shares too few coordinates for the threshold is dropped
-    and the rest verified exactly. A pair at the threshold is missed with (1 - least^rows)^bands, 0.2 % for
-    the defaults, less above it.
+    of one of the bands are candidates; what shares too few coordinates for the threshold is dropped and the
+    rest verified exactly. With the defaults a pair of similarity 0.75 is missed about once in 11,000 times,
+    one of 0.8 about once in 170,000.
 
     Only sizes within ``size_ratio`` can pair, so records meet in geometric ranges of size; those near the
     upper end of a range also go to the next, which grows the shuffle by half at most. A range of more than
@@ -223,10 +229,10 @@ def near_pairs(
                 hashes = darts.band_hashes(darts.signatures(codes, starts))
                 modulus = np.array([parts[g] for g in batch.column("g").to_pylist()], _U)
                 part = (_mix(hashes) % modulus[:, None]).astype(np.int32)
-                index = pa.array(np.repeat(np.arange(batch.num_rows), darts.bands))
+                index = pa.array(np.repeat(np.arange(batch.num_rows), 2 * darts.bands))
                 names = ["g", "band", "part", "id", "text", "size", "home"]
                 given = {c: batch.column(c).take(index) for c in ("g", "id", "text", "size", "home")}
-                given["band"] = pa.array(np.tile(np.arange(darts.bands, dtype=np.int32), batch.num_rows))
+                given["band"] = pa.array(np.tile(np.arange(2 * darts.bands, dtype=np.int32), batch.num_rows))
                 given["part"] = pa.array(part.reshape(-1))
                 yield pa.RecordBatch.from_arrays([given[n] for n in names], names=names)
 

@@ -58,6 +58,9 @@ class _Text:
         if self.size(a, b) <= room or (level == 4 and self.size(a, b) <= limit):
             yield a, b, ends
         elif level == 4:
+            if self.text[b - 1] in "。！？" and self.size(a, b - 1) <= limit:
+                yield a, b - 1, 3
+                a = b - 1
             while a < b:
                 e = min(max(self.reach(a, room), a + 1), b)
                 yield a, e, 4 if e < b else ends
