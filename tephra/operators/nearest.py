@@ -46,12 +46,13 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
                 raw = batch.column("vector").to_pylist()
                 s = q @ unit(np.array([v if v is not None and len(v) == width else [0.0] * width for v in raw], np.float64)).T
                 s[ids[:, None] == keys[None, :]] = -np.inf
+                near = np.round(s, 9)  # sums in another order mustn't decide between equals
                 take = min(k, s.shape[1])
                 for i in range(len(block)):
-                    edge = np.partition(s[i], -take)[-take]
-                    found = np.flatnonzero(s[i] >= edge)
-                    best[i] = sorted(best[i] + [(-s[i, j], keys[j]) for j in found if s[i, j] > -np.inf])[:k]
-            out = [(ids[i].item(), b[1].item() if hasattr(b[1], "item") else b[1], -float(b[0])) for i, bs in best.items() for b in bs]
+                    edge = np.partition(near[i], -take)[-take]
+                    found = np.flatnonzero(near[i] >= edge)
+                    best[i] = sorted(best[i] + [(-near[i, j], keys[j], s[i, j]) for j in found if s[i, j] > -np.inf])[:k]
+            out = [(ids[i].item(), b[1].item() if hasattr(b[1], "item") else b[1], float(b[2])) for i, bs in best.items() for b in bs]
             cols = list(zip(*out)) or [[], [], []]
             t = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], t), pa.array(cols[1], t), pa.array(cols[2], pa.float64())], names=["query", "key", "similarity"])
