@@ -32,17 +32,23 @@ class CarveOptions:
 def header_hits(data: bytes, base: int, owned: int, options: CarveOptions, signatures: Sequence[Signature]) -> list[tuple[int, int]]:
     """(offset in the image, signature number) of files that start in the first ``owned`` bytes of a block at ``base``.
 
-    At a place the first signature whose header is there wins, headers at offset 0 before others. All places
-    are compared at once, byte by byte of each header.
+    At a place the first signature whose header is there wins, headers at offset 0 before others. A signature
+    whose first byte is at no place is passed over; for the rest all places are compared at once, byte by byte.
     """
     a = np.frombuffer(data, np.uint8)
     step = 512 if options.aligned else 1
-    places = np.arange(-base % step, min(owned, len(a)), step)
+    begin, end = -base % step, min(owned, len(a))
+    places = np.arange(begin, end, step)
     won = np.full(len(places), -1)
+    present: dict[int, frozenset] = {}
     for late in (False, True):
         for i, s in enumerate(signatures):
             if (s.offset > 0) != late:
                 continue
+            if s.offset not in present:
+                present[s.offset] = frozenset(data[begin + s.offset : end + s.offset : step])
+            if s.header[0] not in present[s.offset]:
+                continue
             open_ = np.flatnonzero(won < 0)
             at = places[open_] + s.offset
             open_, at = open_[at + len(s.header) <= len(a)], at[at + len(s.header) <= len(a)]
