@@ -185,3 +185,12 @@ def little_endian(binary: Column, at: int, size: int = 4) -> Column:
 
 def _reversed(part: Column, size: int) -> Column:
     return F.concat(*(F.substring(part, size - i, 1) for i in range(size)))
+
+
+def sniffed(head: bytes) -> str | None:
+    """The extension that the first bytes of a content speak for; None where no header fits."""
+    for late in (False, True):
+        for s in SIGNATURES:
+            if (s.offset > 0) == late and len(s.header) > 1 and head[s.offset : s.offset + len(s.header)] == s.header:
+                return resolved_extension(s, head)
+    return None

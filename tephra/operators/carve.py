@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.signatures import PARSERS, SIGNATURES, Signature, find_footer, resolved_extension
+from ..functions.signatures import PARSERS, SIGNATURES, Signature, find_footer, resolved_extension, sniffed
 
 _CARVED = "offset long, size long, signature_name string, extension string, file_type string, boundary_method string"
 #: Bytes that a block needs past its end, so that the farthest header of a file starting in it is seen.
@@ -19,11 +19,12 @@ OVERLAP = max(s.offset + len(s.header) for s in SIGNATURES)
 
 @dataclass(frozen=True)
 class CarveOptions:
-    """Where files may start, the least size, and the types looked for (all if none are named)."""
+    """Where files may start, the least size, the types looked for (all if none are named), and whether the content decides the extension."""
 
     aligned: bool = True
     min_size: int = 512
     types: tuple[str, ...] = ()
+    sniff: bool = False
 
     def signatures(self) -> list[Signature]:
         return [s for s in SIGNATURES if not self.types or s.file_type in self.types]
@@ -79,6 +80,10 @@ def resolved_size(data: Callable[[int], bytes], whole: int, s: Signature, offset
     return None, "MaxSizeCap"
 
 
+def _extension(s: Signature, head: bytes, options: CarveOptions) -> str:
+    return (sniffed(head) if options.sniff else None) or resolved_extension(s, head)
+
+
 def carve_bytes(image: bytes, options: CarveOptions = CarveOptions()) -> list[tuple]:
     """All files in an image that fits in memory: (offset, size, signature, extension, type, boundary)."""
     signatures = options.signatures()
@@ -88,7 +93,7 @@ def carve_bytes(image: bytes, options: CarveOptions = CarveOptions()) -> list[tu
         s = signatures[i]
         size, method = resolved_size(lambda n, o=offset: image[o : o + n], len(image), s, offset, following, options.min_size)
         if size is not None and size >= options.min_size and offset + size <= len(image):
-            out.append((offset, size, s.name, resolved_extension(s, image[offset : offset + 64]), s.file_type, method))
+            out.append((offset, size, s.name, _extension(s, image[offset : offset + 300], options), s.file_type, method))
     return out
 
 
@@ -164,7 +169,7 @@ def carve_files(found: DataFrame, path: str, options: CarveOptions = CarveOption
                     size, method = resolved_size(data, whole, s, offset, after, options.min_size)
                     if size is not None and size >= options.min_size and offset + size <= whole:
                         index.append(i)
-                        out.append((offset, size, name, resolved_extension(s, data(64)), s.file_type, method))
+                        out.append((offset, size, name, _extension(s, data(300), options), s.file_type, method))
             yield _batch(batch.column("path"), index, out, ["path", "offset", "size", "signature_name", "extension", "file_type", "boundary_method"], [pa.int64(), pa.int64(), *[pa.string()] * 4])
 
     return found.select(F.col(path).alias("path"), "offset", "signature", "following").mapInArrow(run, f"path string, {_CARVED}").withColumnRenamed("path", path)

@@ -81,6 +81,21 @@ def test_parsers():
     assert len(sig.SIGNATURES) == 70
 
 
+def test_pictures_and_sniffing(spark):
+    from tephra.functions import pictures
+
+    exif = b"Exif\0\0II*\0\x08\0\0\0\x01\0" + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0)
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 40) + bytes(10) + b"\xff\xda"
+    assert pictures.orientation(jpeg) == 6 and pictures.dimensions(jpeg) == (40, 30)
+    assert pictures.orientation(b"\xff\xd8\xff") == 1 and pictures.dimensions(b"none") is None
+    assert pictures.dimensions(b"GIF89a" + struct.pack("<HH", 7, 8)) == (7, 8)
+    assert pictures.dimensions(b"\x89PNG\r\n\x1a\n" + bytes(8) + struct.pack(">II", 5, 6)) == (5, 6)
+    assert [tuple(r[0]) for r in spark.range(1).select(pictures.fitted(F.lit(400), F.lit(100), 200)).collect()] == [(200, 50)]
+    assert [sig.sniffed(b) for b in (jpeg, b"\0\0\0\x18ftypM4A ", b"GG")] == ["jpg", "m4a", None]
+    options = carve.CarveOptions(False, 100, ("Image",), sniff=True)
+    assert carve.carve_bytes(image(4096, _0=JPEG, _2000=END), options)[0][3] == "jpg"
+
+
 def test_image_files_carved_in_blocks(spark, tmp_path):
     data = image(20_000, _512=JPEG, _3000=END, _5120=b"%PDF-1", _9000=b"%%EOF", _10240=JPEG, _12000=END)
     p, out = str(tmp_path / "a.dd"), str(tmp_path / "out")
