@@ -37,10 +37,10 @@ img AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
 pos AS (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS p FROM img),
 m AS (SELECT doc_id, p, name, row_number() OVER (PARTITION BY doc_id, p ORDER BY off > 0, idx) AS rn
   FROM pos JOIN sig ON substr(h, 2 * (p + off) + 1, length(header)) = header)
-SELECT doc_id, p AS offset, name AS signature, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM m WHERE rn = 1"""
+SELECT doc_id, p AS offset, name AS signature, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p), -1) AS following FROM m WHERE rn = 1"""
 )
 def carve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carve.hits(_images(spark, sf_dir), "doc_id", F.col("content"), F.lit(0), F.octet_length("content"))
+    return carve.hits(_images(spark, sf_dir), "doc_id", F.col("content"), F.lit(0), F.octet_length("content")).withColumn("following", F.coalesce("following", F.lit(-1)))
 
 
 @_query(None)

@@ -3,6 +3,7 @@
 import os
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -18,7 +19,7 @@ def test_names_agree():
 def compared(df):
     out = Counter()
     for row in df[sorted(df.columns)].itertuples(index=False):
-        out[tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v) for v in row)] += 1
+        out[tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else str(v) for v in row)] += 1
     return out
 
 
