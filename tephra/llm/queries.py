@@ -28,7 +28,8 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.join(files, "path").join(sources, "source_root", "left")
 
 
-def _survivors(copies: DataFrame) -> DataFrame:
+def _survivors(copies: DataFrame, agreed: bool) -> DataFrame:
+    """The four fields that come from the best copy; with ``agreed`` also those that copies vote on by equal values."""
     c = {n: copies[n] for n in copies.columns}
     dated = lambda t: t.isNotNull() & (t >= F.lit("1980-01-01").cast("timestamp")) & (t <= c["indexed_at"])
     shown = c["thumbnail"].isNotNull() & ~F.lower(F.trim(c["thumbnail"])).isin("", "null", "n/a")
@@ -36,25 +37,25 @@ def _survivors(copies: DataFrame) -> DataFrame:
     known = sum((F.coalesce(u, F.lit(False)).cast("int") for u in usable.values()), F.lit(0))
     best = [Candidate(f, c[f], u) for f, u in usable.items()]
     best.append(Candidate("master", c["path"], F.lit(True), weight=F.pow(F.lit(2.0), 301 * (known - F.lit(3)).cast("double"))))
-    agreed = [
+    voted = [
         Candidate("hash", F.lower(F.trim(c["hash"])), c["hash"].isNotNull(), F.lower(F.trim(c["hash"]))),
         Candidate("size", c["size"], c["size"] > 0, c["size"]),
         Candidate("extension", F.lower(c["extension"]), F.trim(c["extension"]) != "", F.lower(F.trim(c["extension"]))),
     ]
     as_of = F.lit("2060-01-01").cast("timestamp")
     order = [-F.coalesce(c["trust_rank"], F.lit(1 << 30)), c["indexed_at"]]
-    return survivors(copies, "group_id", "file_id", best + agreed, rank_trust(c["trust_rank"]), linear_decay(c["indexed_at"], as_of), order)
+    return survivors(copies, "group_id", "file_id", best + voted * agreed, rank_trust(c["trust_rank"]), linear_decay(c["indexed_at"], as_of), order)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _survivors(_copies(spark, sf_dir)).where("copies >= 2")
+    one = _survivors(_copies(spark, sf_dir), agreed=False).where("copies >= 2")
     return pick_columns(one, "group_id", P1_FIELDS).withColumnRenamed("record", "file_id")
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of each group, with wasted_bytes as the bytes of all copies but the master's."""
     copies = _copies(spark, sf_dir)
-    one = _survivors(copies).where("copies >= 2")
+    one = _survivors(copies, agreed=True).where("copies >= 2")
     bytes_ = copies.select("group_id", "file_id", "size").dropDuplicates(["group_id", "file_id"]).groupBy("group_id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("all_bytes"))
     sizes = table(spark, sf_dir, "files").groupBy("file_id").agg(F.max(F.coalesce("size", F.lit(0))).alias("kept_bytes"))
     whole = one.join(bytes_, "group_id").join(sizes, F.col("master.record") == F.col("file_id"))
