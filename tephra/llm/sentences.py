@@ -80,7 +80,7 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, r"(?<![\p{L}\p{N}])[\p{Lu}]\.", r"\s+\p{Lu}"),
         # Sentences that follow each other without a space.
         Rule(True, r"(?:[\p{L}\p{N}][\p{Ll}\p{N}]|[ap]\.m|\))(?<!(?<!\p{L})(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Dra|Éts|Cía|Nr|St))[.!?…]+", r"\p{Lu}(?:[\p{Ll}'’\s]|\.[\s\p{Lu}])"),
-        Rule(True, r"\p{Ll}{2}[.!?…]+", r"[¿¡«“‘„(]"),
+        Rule(True, r"\p{L}\p{Ll}[.!?…]+", r"[¿¡«“‘„(]"),
         Rule(False, r"(?:\.\.+|…)", LOWER),
         Rule(False, r"[.!?…؟][\p{Pe}\p{Pf}\p{Pi}\"\s]*", r"\s*\p{Ll}"),
         Rule(True, r"[.!?…؟。！？।॥]+[\p{Pe}\p{Pf}\p{Pi}\"\s]*", ANY),
