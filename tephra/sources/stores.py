@@ -36,9 +36,12 @@ def load_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def save_manifest(entries: DataFrame, path: str, source_root: str, dest_root: str, tool: str = "tephra") -> None:
-    """Write entries as JSON lines, one per entry, beside a line of totals and root hash: ``path``/entries and ``path``/head."""
+    """Write entries as JSON lines, one per entry, beside a line of totals and root hash: ``path``/entries and ``path``/head.
+
+    The head is computed from what was written, so entries that are made by copying files are made once.
+    """
     entries.write.mode("overwrite").json(f"{path}/entries")
-    one = entries.select(F.lit(0).alias("m"), "source_path", "hash", "size", "verified")
+    one = load_manifest(entries.sparkSession, path).select(F.lit(0).alias("m"), "source_path", "hash", "size", "verified")
     head = proof.totals(one, "m").join(proof.root_hashes(one, "m", "source_path", "hash"), "m").drop("m")
     named = head.withColumns({"version": F.lit(VERSION), "tool": F.lit(tool), "source_root": F.lit(source_root), "dest_root": F.lit(dest_root)})
     named.coalesce(1).write.mode("overwrite").json(f"{path}/head")

@@ -216,3 +216,24 @@ def test_report(spark, tree):
     errors = spark.createDataFrame([("<bad>",)], "error string")
     page = sinks.html_report("Case & 1", search.summary(files), errors, {"by": "A"})
     assert "Case &amp; 1" in page and "<td>Image</td><td>2</td>" in page and "&lt;bad&gt;" in page
+
+
+def test_command_line(spark, tree, tmp_path, capfd):
+    from tephra.__main__ import main
+
+    at = lambda n: str(tmp_path / n)
+    assert main(["index", tree, at("index")]) == 0
+    assert main(["search", at("index"), "*.jpg", "--how", "glob"]) == 0 and "vacation.jpg" in capfd.readouterr().out
+    with open(tree + "/copy.txt", "w") as f:
+        f.write("notes")
+    main(["index", tree, at("index")])
+    assert main(["dedup", at("index"), "--keep", "cleanest"]) == 0 and "/copy.txt" in capfd.readouterr().out
+    assert main(["export", at("index"), at("out")]) == 0
+    assert main(["verify", at("out") + "/manifest"]) == 0
+    os.remove(stores.load_manifest(spark, at("out") + "/manifest").first()["dest_path"])
+    assert main(["verify", at("out") + "/manifest"]) == 1
+    assert main(["report", at("index"), at("report.html")]) == 0 and "<td>Image</td>" in open(at("report.html")).read()
+    image = bytearray(8192)
+    image[0:4], image[2000:2002] = b"\xff\xd8\xff\xe0", b"\xff\xd9"
+    (tmp_path / "a.dd").write_bytes(image)
+    assert main(["carve", at("a.dd"), at("carved")]) == 0 and os.listdir(at("carved")) == ["00000000_000000000000.jpg"]
