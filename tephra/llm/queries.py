@@ -35,7 +35,8 @@ def _survivors(copies: DataFrame, agreed: bool) -> DataFrame:
     shown = c["thumbnail"].isNotNull() & ~F.lower(F.trim(c["thumbnail"])).isin("", "null", "n/a")
     usable = {"created": dated(c["created"]), "modified": dated(c["modified"]), "thumbnail": shown}
     known = sum((F.coalesce(u, F.lit(False)).cast("int") for u in usable.values()), F.lit(0))
-    best = [Candidate(f, c[f], u) for f, u in usable.items()]
+    value = lambda f: F.unix_micros(c[f]) if f != "thumbnail" else c[f]
+    best = [Candidate(f, value(f), u) for f, u in usable.items()]
     best.append(Candidate("master", c["path"], F.lit(True), weight=F.pow(F.lit(2.0), 301 * (known - F.lit(3)).cast("double"))))
     voted = [
         Candidate("hash", F.lower(F.trim(c["hash"])), c["hash"].isNotNull(), F.lower(F.trim(c["hash"]))),
@@ -63,8 +64,8 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "group_id",
         "copies",
         F.col("master.value").alias("master"),
-        F.col("created.value").cast("timestamp").alias("created"),
-        F.col("modified.value").cast("timestamp").alias("modified"),
+        F.timestamp_micros(F.col("created.value").cast("long")).alias("created"),
+        F.timestamp_micros(F.col("modified.value").cast("long")).alias("modified"),
         F.col("thumbnail.value").alias("thumbnail"),
         F.col("hash.value").alias("hash"),
         F.col("size.value").cast("long").alias("size"),
@@ -183,5 +184,19 @@ large AS (SELECT * FROM sized WHERE strlen(text) > n),
 longest AS (
   SELECT doc_id, max(strlen(part)) AS bytes FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r。！？]')) AS part FROM large) GROUP BY doc_id)
 SELECT l.doc_id, CASE WHEN g.bytes > l.n THEN 'forced' ELSE 'natural' END AS cut FROM large l JOIN longest g ON g.doc_id = l.doc_id""",
+    "p5_found": """
+WITH f AS (SELECT DISTINCT file_id, lower(path) AS p, size FROM files WHERE size > 0 AND length(path) >= 3),
+g AS (SELECT file_id, size, floor(ln(size) / 0.106)::INT AS k, list_distinct([substr(p, i, 3) for i in range(1, length(p) - 1)]) AS t FROM f),
+a AS (SELECT file_id, size, k, len(t) AS n, unnest(t) AS w FROM g),
+b AS (SELECT file_id, size, n, w, unnest([k, k + 1]) AS k FROM a),
+c AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS common, any_value(a.n + b.n) AS total FROM a JOIN b ON a.w = b.w AND a.k = b.k
+  WHERE b.size <= a.size AND b.size * 10 >= a.size * 9 AND (b.size < a.size OR a.file_id < b.file_id) GROUP BY 1, 2)
+SELECT least(x, y) AS file_id_a, greatest(x, y) AS file_id_b FROM c WHERE common * 4 >= (total - common) * 3""",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS t FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS t FROM eval_items),
+dw AS (SELECT doc_id, unnest([substr(t, k, 40) for k in range(1, length(t) - 38)]) AS w FROM d),
+iw AS (SELECT DISTINCT item_id, unnest([substr(t, k, 40) for k in range(1, length(t) - 38)]) AS w FROM i)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)""",
     "p3_group_sizes": _LINKED + "SELECT group_id, count(*) AS files FROM linked GROUP BY 1",
 }
