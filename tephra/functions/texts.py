@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Errors that no retry can mend.
 FATAL_ERRORS = ["permission denied", "access denied", "file not found", "no such file", "directory not found", "invalid path"]
 # Which repair an error asks for, first match first.
-REPAIRS = [("gpu", ["gpu", "cuda"]), ("timeout", ["timeout", "timed out"]), ("network", ["connection", "network"]), ("io", ["i/o", "io error"]), ("bad_sector", ["bad sector", "crc"])]
+REPAIRS = [("gpu", ["gpu", "cuda", "out of memory"]), ("timeout", ["timeout", "timed out"]), ("network", ["connection", "network", "refused"]), ("io", ["i/o error", "io error"]), ("bad_sector", ["bad sector", "read error"])]
 
 
 def tokens(text: Column) -> Column:

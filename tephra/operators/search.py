@@ -94,6 +94,22 @@ def scan_filter(files: DataFrame, root: Column, extensions: Sequence[str] = (),
     return out.drop("__root")
 
 
+# What each occasion of a scan keeps: hidden files, extensions (none: all), depth (none: any).
+SCENARIOS: dict[str, tuple[bool, str, int | None]] = {
+    "deleted_files": (True, "", None),
+    "corrupted_drive": (True, "", None),
+    "lost_photos": (False, "jpg jpeg png gif heic heif raw cr2 nef arw dng mp4 mov avi", None),
+    "backup_drive": (False, "", 10),
+    "scan_everything": (True, "", None),
+}
+
+
+def scenario(files: DataFrame, root: Column, name: str) -> DataFrame:
+    """What a scan for an occasion keeps."""
+    hidden, extensions, depth = SCENARIOS[name]
+    return scan_filter(files, root, extensions.split(), hidden, depth)
+
+
 def summary(files: DataFrame, selection: DataFrame | None = None) -> DataFrame:
     """Files and bytes per kind, of the selected paths or all."""
     chosen = files.join(selection.select("path").distinct(), "path", "left_semi") if selection is not None else files

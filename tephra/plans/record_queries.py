@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.signatures import SIGNATURES, little_endian
 from ..operators import carve, diff, proof, sectors, state
 from ..runtime import table
@@ -191,14 +192,14 @@ def heal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.log_summary(table(spark, sf_dir, "index_runs").select(F.coalesce("status", F.lit("unknown")).alias("result")), "result")
 
 
+_REPAIRS = " ".join(f"WHEN regexp_matches(lower(error), '{'|'.join(parts)}') THEN '{name}'" for name, parts in texts.REPAIRS)
 _ERRORS = "SELECT DISTINCT manifest_id, dest_path, bad_sector_notes AS error FROM proof_entries WHERE bad_sector_notes IS NOT NULL"
 
 
 @_query(
     f"""WITH e AS ({_ERRORS}), a AS (SELECT *, unnest(range(3)) AS attempt FROM e)
 SELECT dest_path, attempt::INT AS attempt, least(100 * pow(2, attempt), 5000)::BIGINT AS delay_ms,
-CASE WHEN regexp_matches(lower(error), 'gpu|cuda') THEN 'gpu' WHEN regexp_matches(lower(error), 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(lower(error), 'connection|network') THEN 'network'
-  WHEN regexp_matches(lower(error), 'i/o|io error') THEN 'io' WHEN regexp_matches(lower(error), 'bad sector|crc') THEN 'bad_sector' ELSE 'generic' END AS repair FROM a
+CASE {_REPAIRS} ELSE 'generic' END AS repair FROM a
 WHERE NOT regexp_matches(lower(error), 'permission denied|access denied|file not found|no such file|directory not found|invalid path')"""
 )
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,12 @@ def test_searches(spark, tree):
     assert stats["ALL"] == 6 and stats["Image"] == 2 and stats["Document"] == 2
 
 
+def test_scenarios(spark):
+    files = search.entries(spark.createDataFrame([("/r/a.jpg",), ("/r/.b/c.jpg",), ("/r/d.txt",), ("/r/" + "x/" * 12 + "e.txt",)], "path string"))
+    kept = {n: search.scenario(files, F.lit("/r"), n).count() for n in search.SCENARIOS}
+    assert kept == {"deleted_files": 4, "corrupted_drive": 4, "lost_photos": 1, "backup_drive": 2, "scan_everything": 4}
+
+
 def test_date_filters_pass_unknown_times(spark):
     rows = [("/a.txt", 5, T), ("/b.txt", 5, None), ("/c.txt", 5, dt.datetime(2030, 1, 1))]
     files = search.entries(spark.createDataFrame(rows, "path string, size long, modified timestamp"))
