@@ -60,13 +60,13 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(None)
 def keyword_scores_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.keyword_scores(_docs(spark, sf_dir), "doc_id", "text", "recovred partiton", fuzzy=True, least=0.9)
+    return text_search.keyword_scores(_docs(spark, sf_dir), "doc_id", "text", "recovred partiton", fuzzy=True)
 
 
 @_query(None)
 def jaro_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = text_search.postings(_docs(spark, sf_dir), "doc_id", "text").select("term").distinct()
-    return text_search.similar_terms(terms, ["partition", "manifest"], 0.8)
+    return text_search.similar_terms(terms, ["partition", "manifest"])
 
 
 @_query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tephra.functions import signatures as sig
 from tephra.functions import vectors
 from tephra.operators import carve, chunking, nearest, state, text_search
+from tephra.plans import text_queries
 from tephra.sources import images, sinks
 from tephra.streaming import incremental
 
@@ -165,6 +166,40 @@ def test_jaro():
     assert text_search.query_terms("Hello, World! a é") == ["hello", "world", "é"]
 
 
+def plain_jaro(a, b):
+    reach, used, ours = max(max(len(a), len(b)) // 2 - 1, 0), [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if b[j] == c and not used[j]:
+                used[j] = True
+                ours.append(c)
+                break
+    if not ours:
+        return 0.0
+    m, theirs = len(ours), [c for c, u in zip(b, used) if u]
+    return (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(ours, theirs)) / 2) / m) / 3
+
+
+def test_registered_fuzzy_queries_take_all_near_terms(spark, tmp_path):
+    docs = ["recovered partitions", "partition record", "parties manifest", "portion cover mandate", "station manifold", "particle recover zebra", "unrelated words", "partition partition manifests"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = [w for d in docs for w in d.split()]
+    near = {(w, t): plain_jaro(w, t) for w in ("partition", "manifest") for t in set(terms)}
+    near = {k: s for k, s in near.items() if 0.7 <= s < 1}
+    got = {(r["word"], r["term"]): r["similarity"] for r in text_queries.jaro_vocabulary(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(near) and any(s < 0.8 for s in near.values())
+    raw = {}
+    for i, d in enumerate(docs):
+        for t in d.split():
+            for w in ("recovred", "partiton"):
+                if (s := plain_jaro(w, t)) >= 0.7:
+                    raw[i] = raw.get(i, 0) + (1 if w == t else s / 2) * (math.log(len(docs) / terms.count(t)) + 1)
+    scores = {r["doc_id"]: r["keyword_score"] for r in text_queries.keyword_scores_fuzzy(spark, str(tmp_path)).collect()}
+    assert scores == pytest.approx({i: r / max(raw.values()) for i, r in raw.items()})
+    only = [i for i, d in enumerate(docs) if i in raw and all(plain_jaro(w, t) < 0.9 for w in ("recovred", "partiton") for t in d.split())]
+    assert only
+
+
 def test_hybrid_search_ranks_the_right_document(spark):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "a slow green turtle walks"), (3, None)], "id long, text string")
     vec, q = vectors.hash_embedding(F.col("text"), 16), vectors.hash_embedding(F.lit("quick fox"), 16)
