@@ -156,7 +156,7 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(None)
 def chunk_by_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return chunking.by_media(docs, "doc_id", "text", F.concat(docs["doc_id"].cast("string"), F.lit(".txt")), docs["media_type"], chunking.ChunkConfig(crawl=False)).select("doc_id", "index", "total", "start_pos", "end_pos", "media_type", F.map_entries("metadata").cast("string").alias("metadata"), "content")
+    return chunking.by_media(docs, "doc_id", "text", F.concat(docs["doc_id"].cast("string"), F.lit(".txt")), docs["media_type"]).select("doc_id", "index", "total", "start_pos", "end_pos", "media_type", F.map_entries("metadata").cast("string").alias("metadata"), "content")
 
 
 @_query(

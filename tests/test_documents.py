@@ -151,6 +151,20 @@ def test_chunks_by_media(spark):
         chunking.register("text", chunking.text_pieces)
 
 
+def test_registered_chunks_go_on_within_the_overlap(spark, tmp_path):
+    text = "a" * 298 + "\n\n" + "b" * 98 + "\n\n" + "c" * 2000
+    spark.createDataFrame([(1, text, "text"), (2, text, "pdf")], "doc_id long, text string, media_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    start, spans = 0, []
+    while start < 2400:  # the rule of the survey's C2
+        end = 2400 if start + 1024 >= 2400 else next((e for e in (300, 400) if e > start + 1), start + 1024)
+        if end - start >= 64 or not spans or end == 2400:
+            spans.append((start, end))
+        start = 2400 if end == 2400 else max(end - 128, start + 1)
+    got = text_queries.chunk_by_media(spark, str(tmp_path)).orderBy("doc_id", "index").collect()
+    assert [(r["doc_id"], r["start_pos"], r["end_pos"]) for r in got] == [(d, *s) for d in (1, 2) for s in spans]
+    assert (173, 300) in spans and all(r["content"] == text[r["start_pos"] : r["end_pos"]] for r in got)
+
+
 def test_fixed_chunks_cover(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None)], "id long, text string")
     got = [(r["start_pos"], r["content"]) for r in chunking.fixed(df, "id", "text", 4, 2).orderBy("index").collect()]
