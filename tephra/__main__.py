@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import runtime
 from .operators import carve, dedup, proof, search
 from .sources import directory, images, sinks, stores
 
@@ -39,7 +40,9 @@ def main(argv: list[str] | None = None) -> int:
         blocks = images.image_blocks(spark, [a.image])
         found = carve.carve_files(carve.hits(blocks, "image", F.col("content"), F.col("base"), F.col("owned"), options), "image", options)
         named = found.withColumn("name", carve.carved_name(F.col("offset") * 0, F.col("offset"), F.col("extension")))
-        sinks.extract_carved(named, a.out, [a.image]).show(100, truncate=False)
+        done, kept = runtime.written(sinks.extract_carved(named, a.out, [a.image]), "carved")  # in full: show alone stops at its rows
+        done.orderBy("name").show(100, truncate=False)
+        runtime.forget(spark, kept)
     elif a.command == "export":
         done = sinks.export(spark.read.parquet(a.index), a.dest, [])
         stores.save_manifest(done.withColumn("exported_at", F.current_timestamp()), f"{a.dest}/manifest", "", a.dest)

@@ -243,3 +243,22 @@ def test_command_line(spark, tree, tmp_path, capfd):
     image[0:4], image[2000:2002] = b"\xff\xd8\xff\xe0", b"\xff\xd9"
     (tmp_path / "a.dd").write_bytes(image)
     assert main(["carve", at("a.dd"), at("carved")]) == 0 and os.listdir(at("carved")) == ["00000000_000000000000.jpg"]
+
+
+def test_command_line_carves_all_of_many_blocks(spark, tmp_path, monkeypatch, capfd):
+    from tephra.__main__ import main
+    from tephra.sources import images
+
+    image = bytearray(1 << 20)
+    for at in range(0, len(image), 1024):
+        image[at : at + 4], image[at + 600 : at + 602] = b"\xff\xd8\xff\xe0", b"\xff\xd9"
+    (tmp_path / "a.dd").write_bytes(image)
+    blocks = images.image_blocks
+    monkeypatch.setattr(images, "image_blocks", lambda s, paths: blocks(s, paths, 1 << 15))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert main(["carve", str(tmp_path / "a.dd"), str(tmp_path / "carved")]) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(os.listdir(tmp_path / "carved")) == [f"00000000_{at:012x}.jpg" for at in range(0, len(image), 1024)]
+    assert "only showing top 100 rows" in capfd.readouterr().out
