@@ -285,3 +285,10 @@ def dedup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("size").isNull(), "unknown").when(F.col("size") < 1024, texts.size_text(F.col("size"))).otherwise("more")
     return index(spark, sf_dir, "size").groupBy("kind", label.alias("label")).agg(F.count("*").alias("files"))
+
+
+@_query(None)
+def size_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every size labelled in its unit, B to PiB; ``size_labels`` is held by its SQL to those under 1 KiB."""
+    label = F.when(F.col("size").isNull(), "unknown").otherwise(texts.size_text(F.col("size")))
+    return index(spark, sf_dir, "size").groupBy("kind", label.alias("label")).agg(F.count("*").alias("files"))

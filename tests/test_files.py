@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tephra.functions import digests, names, texts
 from tephra.operators import dedup, proof, search, sectors
+from tephra.plans import index_queries
 from tephra.sources import directory, sinks, stores
 
 T = dt.datetime(2031, 1, 1)
@@ -262,3 +263,10 @@ def test_command_line_carves_all_of_many_blocks(spark, tmp_path, monkeypatch, ca
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sorted(os.listdir(tmp_path / "carved")) == [f"00000000_{at:012x}.jpg" for at in range(0, len(image), 1024)]
     assert "only showing top 100 rows" in capfd.readouterr().out
+
+
+def test_sizes_of_all_files_are_labelled(spark, tmp_path):
+    sizes = [None, 0, 1023, 1024, 1536, 3 << 20, 5 << 30, 7 << 40, 9 << 50, 1 << 61]
+    spark.createDataFrame([(i, f"/d/{i}.jpg", s) for i, s in enumerate(sizes)], "file_id long, path string, size long").write.parquet(str(tmp_path / "files.parquet"))
+    got = {r["label"]: r["files"] for r in index_queries.size_labels_whole(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(["unknown", "0 B", "1023 B", "1.00 KiB", "1.50 KiB", "3.00 MiB", "5.00 GiB", "7.00 TiB", "9.00 PiB", "2048.00 PiB"], 1)
