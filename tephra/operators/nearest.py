@@ -16,16 +16,18 @@ BLOCK = 2048
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """``query, key, similarity, rank``: the ``k`` rows of greatest cosine for every query, ties to the smaller key.
 
-    The queries go out in blocks; each task keeps the best ``k`` of its rows per query, so what is ranked
+    The queries go out in blocks of one vector size; each task keeps the best ``k`` of its rows per query, so what is ranked
     at last is ``k`` rows a task and query, however many rows there are. A query isn't its own neighbour.
     Vectors that are empty, of another size, or without length have similarity 0.
     """
     kind = dict(rows.dtypes)[key]
-    blocks: list[list] = [[]]
+    by_size: dict[int, list[list]] = {}
     for r in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        if len(blocks[-1]) == BLOCK:
-            blocks.append([])
-        blocks[-1].append((r[0], list(r[1])))
+        same = by_size.setdefault(len(r[1]), [[]])
+        if len(same[-1]) == BLOCK:
+            same.append([])
+        same[-1].append((r[0], list(r[1])))
+    blocks = [b for same in by_size.values() for b in same] or [[]]
 
     def unit(v: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(v, axis=1, keepdims=True)
@@ -36,7 +38,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
             if not block:
                 return
             width = len(block[0][1])
-            q = unit(np.array([v if len(v) == width else [0.0] * width for _, v in block], np.float64))
+            q = unit(np.array([v for _, v in block], np.float64))
             ids = np.array([i for i, _ in block])
             best: dict[int, list] = {i: [] for i in range(len(block))}
             for batch in batches:

@@ -247,6 +247,13 @@ def test_vectors_and_neighbours(spark):
     assert text_search.cache_statistics(made, "t").first().asDict() == {"requests": 3, "misses": 2, "hits": 1}
 
 
+def test_neighbours_of_vectors_of_mixed_sizes(spark):
+    rows = [(0, []), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.9, 0.1]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    got = {r["query"]: (r["key"], round(r["similarity"], 3)) for r in nearest.nearest(df, df.where("id in (0, 1, 3)").orderBy("id"), "id", "v", 1).collect()}
+    assert got == {0: (1, 0.0), 1: (2, 0.994), 3: (4, 0.994)}
+
+
 def test_regex_search(spark):
     df = spark.createDataFrame([(1, "Error: at line 42"), (2, "none"), (3, None)], "id long, t string")
     assert [(r["id"], r["score"]) for r in text_search.regex_search(df, "id", "t", r"line \d+").collect()] == [(1, 0.5)]
