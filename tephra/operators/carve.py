@@ -183,3 +183,12 @@ def carved_name(number: Column, offset: Column, extension: Column) -> Column:
 def carve_summary(carved: DataFrame) -> DataFrame:
     """Files and bytes per extension and boundary method."""
     return carved.groupBy("extension", "boundary_method").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def file_entries(carved: DataFrame, folder: str) -> DataFrame:
+    """Carved files (name, offset, size, file_type, extension; hash if known) as entries of an index: created now, modified unknown, no bad sectors."""
+    digest = F.col("hash") if "hash" in carved.columns else F.lit(None).cast("string")
+    return carved.select(
+        F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("path"), "size", F.col("file_type").alias("kind"), F.col("extension").alias("ext"),
+        F.lit(None).cast("timestamp").alias("modified"), F.current_timestamp().alias("created"), digest.alias("hash"), F.lit(False).alias("has_bad_sectors"),
+    )

@@ -26,6 +26,16 @@ def log_summary(log: DataFrame, result: str) -> DataFrame:
     return log.groupBy(result).agg(F.count("*").alias("entries"))
 
 
+def pending_retries(log: DataFrame) -> DataFrame:
+    """Entries of a repair log that a resumed run tries again."""
+    return log.where((F.col("result") == "Retrying") & (F.col("retries_left") > 0))
+
+
+def failed_entries(log: DataFrame) -> DataFrame:
+    """Entries of a repair log that failed for good."""
+    return log.where(F.col("result") == "Failed")
+
+
 def retry_schedule(failures: DataFrame, key: str, error: str, retries: int = 3, first_ms: int = 100, cap_ms: int = 5000) -> DataFrame:
     """The attempts each failure would get: ``key``, attempt, delay_ms, repair; none for errors no retry can mend."""
     mendable = failures.where(texts.is_recoverable(F.col(error)))

@@ -141,3 +141,9 @@ def embedded(docs: DataFrame, key: str, text: str, size: int, embed=vectors.hash
 def cache_statistics(docs: DataFrame, text: str) -> DataFrame:
     """What such a cache spares: requests, misses, hits."""
     return docs.agg(F.count(text).alias("requests"), F.countDistinct(F.sha2(text, 256)).alias("misses")).withColumn("hits", F.col("requests") - F.col("misses"))
+
+
+def index_statistics(docs: DataFrame, key: str, text: str, vector: Column) -> DataFrame:
+    """One row: documents, different terms, embeddings that aren't empty."""
+    terms = postings(docs, key, text).agg(F.countDistinct("term").alias("terms"))
+    return docs.agg(F.count("*").alias("documents"), F.count_if(F.size(vector) > 0).alias("embeddings")).join(terms, how="cross").select("documents", "terms", "embeddings")

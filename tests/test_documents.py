@@ -274,6 +274,17 @@ def test_logs(spark):
     assert [r["run"] for r in state.beyond_newest(runs, "src", "run", "at", 1).orderBy("run").collect()] == [1, 2]
 
 
+def test_carved_entries_retries_and_index_statistics(spark):
+    carved = spark.createDataFrame([(512, 100, "jpg", "Image")], "offset long, size long, extension string, file_type string")
+    named = carved.withColumn("name", carve.carved_name(F.lit(0), F.col("offset"), F.col("extension")))
+    r = carve.file_entries(named, "/out/").first()
+    assert (r["path"], r["size"], r["kind"], r["ext"], r["modified"], r["hash"], r["has_bad_sectors"]) == ("/out/00000000_000000000200.jpg", 100, "Image", "jpg", None, None, False) and r["created"]
+    log = spark.createDataFrame([("a", "Retrying", 2), ("b", "Retrying", 0), ("c", "Failed", 1), ("d", "Success", 1), ("e", None, None)], "source string, result string, retries_left int")
+    assert [x["source"] for x in state.pending_retries(log).collect()] == ["a"] and [x["source"] for x in state.failed_entries(log).collect()] == ["c"]
+    docs = spark.createDataFrame([(1, "aa bb aa", [1.0]), (2, "bb cc", []), (3, None, None)], "id long, text string, v array<double>")
+    assert text_search.index_statistics(docs, "id", "text", F.col("v")).first().asDict() == {"documents": 3, "terms": 3, "embeddings": 1}
+
+
 def test_incremental_stream_equals_batch_and_survives_restart(spark, tmp_path):
     schema = "path string, size long, modified timestamp"
     src, at = str(tmp_path / "in"), lambda n: str(tmp_path / n)
