@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         files = search.entries(spark.read.parquet(a.index))
         errors = files.where("read_error IS NOT NULL").select(F.col("read_error").alias("error"))
         with open(a.out, "w") as f:
-            f.write(sinks.html_report("Files", search.summary(files), errors, {"index": a.index}))
+            f.writelines(sinks.html_parts("Files", search.summary(files), errors, {"index": a.index}))
     return 0
 
 

@@ -153,14 +153,22 @@ def purge(plan: DataFrame, delete: bool = False) -> DataFrame:
     return plan.select("path", F.col("size").cast("long").alias("size")).mapInArrow(run, "path string, size long, deleted boolean, error string")
 
 
-def html_report(title: str, kinds: DataFrame, errors: DataFrame, facts: dict[str, str], most: int = 200) -> str:
-    """A report page from small tables: files and bytes per kind, the first ``most`` errors, and facts."""
+def html_parts(title: str, kinds: DataFrame, errors: DataFrame, facts: dict[str, str]) -> Iterator[str]:
+    """A report page piece by piece: facts, files and bytes per kind (a small table), and all errors with their count, streamed in order."""
     escape = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&#39;")
-    rows = kinds.select(html_escaped(F.col("kind")).alias("kind"), "files", size_text(F.col("bytes")).alias("bytes")).orderBy(F.desc("files"), "kind").limit(most).collect()
-    bad = [r[0] for r in errors.select(html_escaped(F.col("error"))).limit(most).collect()]
-    out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
-    out.append("<dl>" + "".join(f"<dt>{escape(k)}</dt><dd>{escape(v)}</dd>" for k, v in facts.items()) + "</dl>")
-    out.append("<table><tr><th>Type</th><th>Files</th><th>Size</th></tr>" + "".join(f"<tr><td>{r['kind']}</td><td>{r['files']}</td><td>{r['bytes']}</td></tr>" for r in rows) + "</table>")
-    if bad:
-        out.append("<h2>Errors</h2><ul>" + "".join(f"<li>{e}</li>" for e in bad) + "</ul>")
-    return "".join(out) + "</body></html>\n"
+    rows = kinds.select(html_escaped(F.col("kind")).alias("kind"), "files", size_text(F.col("bytes")).alias("bytes")).orderBy(F.desc("files"), "kind").collect()
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"
+    yield "<dl>" + "".join(f"<dt>{escape(k)}</dt><dd>{escape(v)}</dd>" for k, v in facts.items()) + "</dl>"
+    yield "<table><tr><th>Type</th><th>Files</th><th>Size</th></tr>" + "".join(f"<tr><td>{r['kind']}</td><td>{r['files']}</td><td>{r['bytes']}</td></tr>" for r in rows) + "</table>"
+    count = errors.count()
+    if count:
+        yield f"<h2>Errors ({count})</h2><ul>"
+        for r in errors.select(html_escaped(F.col("error")).alias("error")).orderBy("error").toLocalIterator():
+            yield f"<li>{r[0]}</li>"
+        yield "</ul>"
+    yield "</body></html>\n"
+
+
+def html_report(title: str, kinds: DataFrame, errors: DataFrame, facts: dict[str, str]) -> str:
+    """The page of ``html_parts`` as one text."""
+    return "".join(html_parts(title, kinds, errors, facts))

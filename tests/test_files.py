@@ -225,6 +225,13 @@ def test_report(spark, tree):
     assert "Case &amp; 1" in page and "<td>Image</td><td>2</td>" in page and "&lt;bad&gt;" in page
 
 
+def test_report_lists_all_errors(spark, tree):
+    errors = spark.range(450).select(F.format_string("unreadable %04d", "id").alias("error"))
+    page = sinks.html_report("Case", search.summary(search.entries(directory.scan(spark, tree))), errors, {})
+    at = [page.find(f"<li>unreadable {i:04d}</li>") for i in range(450)]
+    assert at[0] > 0 and at == sorted(at) and "Errors (450)" in page
+
+
 def test_command_line(spark, tree, tmp_path, capfd):
     from tephra.__main__ import main
 
