@@ -106,6 +106,18 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     assert grouped(spark, pairs) == brute_groups(pairs)
 
 
+def test_components_of_long_chains_keep_a_small_plan(spark):
+    r = random.Random(7)
+    names = list(range(3000))
+    r.shuffle(names)
+    up = [(i, i + 1) for i in range(10_000, 13_000)]  # every label lies behind the one before it
+    pairs = list(zip(names, names[1:])) + up + [(i, 20_000 + i % 7) for i in range(30_000, 30_200)]
+    df = spark.createDataFrame(pairs, "l long, r long")
+    got = components(df, "l", "r")
+    assert sorted(map(tuple, got.collect())) == brute_groups(pairs)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 2
+
+
 # Splitting
 
 
