@@ -7,10 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table, written
+from ..runtime import table
 from .components import components
 from .contamination import leaked
-from .near_duplicates import near_pairs
+from .near_duplicates import near_groups, near_pairs
 from .packing import pack
 from .sentences import sentences
 from .splitting import split_texts
@@ -105,20 +105,17 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, with_text=True)
 
 
-def _near_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "files"), "file_id", "path", "size", least=0.75, size_ratio=(9, 10), width=3)
+NEAR_FILES = {"least": 0.75, "size_ratio": (9, 10), "width": 3}
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near_files(spark, sf_dir).select(F.col("key_a").alias("file_id_a"), F.col("key_b").alias("file_id_b"))
+    pairs = near_pairs(table(spark, sf_dir, "files"), "file_id", "path", "size", **NEAR_FILES)
+    return pairs.select(F.col("key_a").alias("file_id_a"), F.col("key_b").alias("file_id_b"))
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with a near-duplicate, its group and its number of links."""
-    pairs, _ = written(_near_files(spark, sf_dir).select("key_a", "key_b"), "near")
-    links = pairs.select(F.explode(F.array("key_a", "key_b")).alias("file_id")).groupBy("file_id").agg(F.count("*").alias("links"))
-    groups = components(pairs, "key_a", "key_b").select(F.col("node").alias("file_id"), F.col("component").alias("group_id"))
-    return groups.join(links, "file_id")
+    return near_groups(table(spark, sf_dir, "files"), "file_id", "path", size="size", **NEAR_FILES)
 
 
 #: A public byte-level BPE; its path may be set for a cluster that keeps it elsewhere.

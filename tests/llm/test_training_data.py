@@ -189,25 +189,68 @@ def some_files(seed=3):
     return data + data[:20] + [(900, None, 10), (901, "/a", 10), (902, "/abcabcabc", None), (903, "/abcabcabc", 0), (None, "/abcabcabc", 5), (904, "/ABCABCABC", 7), (905, "/abcabcabc", 7), (906, "", 3)]
 
 
-def test_near_pairs_equal_brute_force_in_both_ways_of_meeting(spark):
+def test_near_pairs_equal_brute_force(spark, monkeypatch):
     data = some_files()
     want = brute_near(data)
     assert len(want) > 50
     assert near(spark, data) == want
-    assert near(spark, data, group_rows=25) == want  # crowded sizes are split by band
     assert near(spark, []) == set()
+    # Crowded band hashes are told apart by further bands.
+    monkeypatch.setattr(near_duplicates, "CROWD_PAIRS", 1)
+    assert near(spark, data) == want
+    monkeypatch.setattr(near_duplicates, "CROWD", 2)
+    assert near(spark, data) == want
+
 
+def brute_links(data):
+    pairs = brute_near(data)
+    count, groups = {}, dict(brute_groups(pairs))
+    for p in pairs:
+        for x in p:
+            count[x] = count.get(x, 0) + 1
+    return sorted((x, n, groups[x]) for x, n in count.items())
 
-def test_dart_signatures_estimate_weighted_similarity():
-    darts = near_duplicates.Darts(bands=64, rows=8)
+
+def test_near_groups_count_links_without_listing_copies(spark):
+    data = some_files(5) + [(1000 + i, "/Copies/Of One/File.txt", 77) for i in range(40)] + [(1100, "/copies/of one/file.txt", 78), (1101, "/copies/of one/files.txt", 80)]
+    df = spark.createDataFrame([(*x, 1, "h", "t") for x in data], FILE)
+    assert rows(near_duplicates.near_groups(df, "id", "path", size="size")) == sorted(brute_links(data), key=repr)
+    assert near(spark, data) == brute_near(data)
+    many = spark.range(50_000).select("id", F.lit("/a/folder/of/equal/paths.txt").alias("path"), F.lit(9).alias("size"))
+    got = near_duplicates.near_groups(many, "id", "path", size="size").groupBy("links", "group_id").count().collect()
+    assert [tuple(r) for r in got] == [(49_999, 0, 50_000)]
+
+
+@pytest.mark.parametrize("batch,crowd", [(1, 3), (3, 3), (7, 3), (50, 1000), (2, 1)])
+def test_sweep_takes_keys_across_batches(monkeypatch, batch, crowd):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_duplicates, "CROWD", crowd)
+    r = random.Random(batch)
+    data = sorted((k << 16 | r.randint(0, 9), r.randint(0, 40)) for k in range(30) for _ in range(r.choice([1, 1, 2, 3, 8])))
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in data[i : i + batch]]), pa.array([y for _, y in data[i : i + batch]])], names=["kq", "id"]) for i in range(0, len(data), batch)]
+    out = [tuple(x.values()) for b in near_duplicates._meeting(4, False)(iter(batches)) for x in b.to_pylist()]
+    apart = sorted((k, a) for a, _, k in out if k is not None)
+    by_key = {}
+    for kq, i in data:
+        by_key.setdefault(kq >> 16, []).append((kq, i))
+    assert apart == sorted((k, i) for k, v in by_key.items() if len(v) > crowd for _, i in v)
+    want = sorted((min(i, j), max(i, j)) for v in by_key.values() if len(v) <= crowd for n, (x, i) in enumerate(v) for y, j in v[n + 1 :] if i != j and y - x <= 4)
+    assert sorted((a, b) for a, b, k in out if k is None) == want
+
+
+@pytest.mark.parametrize("scale", [3.0, 1e-3, 1e5])
+def test_dart_signatures_estimate_weighted_similarity(scale):
+    darts = near_duplicates.Darts(bands=128, rows=8)
     r = np.random.default_rng(4)
     ids = r.integers(0, 1 << 60, 40).astype(np.uint64)
-    x, y = r.uniform(0, 3, 40), r.uniform(0, 3, 40)
+    x, y = r.uniform(0, scale, 40), r.uniform(0, scale, 40)
+    x[:5], y[3:8] = 0, 0
     want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
     got = darts.signatures(np.concatenate([ids, ids]), np.array([0, 40, 80]), np.concatenate([x, y]))
-    assert abs((got[0] == got[1]).mean() - want) < 0.09
-    alone = darts.signatures(ids[:0], np.array([0, 0]))
-    assert (alone == np.iinfo(np.uint64).max).all()
+    assert abs((got[0] == got[1]).mean() - want) < 0.06
+    alone = darts.signatures(ids[:1], np.array([0, 0, 1]), np.array([1e-9 * scale]))
+    assert (alone[0] == np.iinfo(np.uint64).max).all() and (alone[1] != np.iinfo(np.uint64).max).all()
 
 
 # Packing
