@@ -16,21 +16,25 @@ _LAST = (1 << 63) - 1
 _RANGES = "pid int, entity string, lo long, hi long, before long"
 
 
-def dyadic_blocks(extents: DataFrame) -> DataFrame:
-    """Each ``entity, lo, hi`` cut into its canonical dyadic blocks: ``entity, start, level``.
+def dyadic_blocks(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Extents ``[lo, hi)`` cut into their canonical dyadic blocks: start and level, by start, of equal starts the largest first.
 
-    At level k an interval owns at most a left block, where ceil(lo / 2^k) is odd, and a right one,
-    where floor(hi / 2^k) is odd; blocks that begin at the same place nest, so the largest stays.
+    At level k an extent owns at most a left block, where ceil(lo / 2^k) is odd, and a right one,
+    where floor(hi / 2^k) is odd.
     """
-    by_level = extents.select("entity", "lo", "hi", F.explode(F.expr("sequence(0, length(bin(hi - lo)) - 1)")).alias("level")).selectExpr(
-        "entity", "level", "shiftright(lo - 1, level) + 1 AS l", "shiftright(hi, level) AS r"
-    )
-    ends = F.array(
-        F.when(F.expr("l < r AND l % 2 <> 0"), F.expr("shiftleft(l, level)")),
-        F.when(F.expr("l < r AND r % 2 <> 0"), F.expr("shiftleft(r - 1, level)")),
-    )
-    blocks = by_level.select("entity", "level", F.explode(ends).alias("start")).where("start IS NOT NULL")
-    return blocks.groupBy("entity", "start").agg(F.max("level").alias("level"))
+    starts, levels = [], []
+    l, r, k = lo, hi, 0
+    while len(l):
+        for own, at in ((l & 1 == 1, l), (r & 1 == 1, r - 1)):
+            starts.append(at[own] << k)
+            levels.append(np.full(len(starts[-1]), k, np.int64))
+        # What is left between the two begins and ends at even places.
+        l, r, k = (l + 1) >> 1, r >> 1, k + 1
+        rest = l < r
+        l, r = l[rest], r[rest]
+    start, level = np.concatenate(starts or [lo]), np.concatenate(levels or [lo])
+    order = np.lexsort((-level, start))
+    return start[order], level[order]
 
 
 def merge_siblings(start: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +55,7 @@ def merge_siblings(start: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted blocks of one partition to its covered ranges; memory is that of a batch."""
+    """Sorted extents of one partition to its covered ranges, by way of their blocks; memory is that of a batch."""
     pid = TaskContext.get().partitionId()
     entity, lo, hi, before = None, None, None, None
     out: list[tuple] = []
@@ -65,8 +69,8 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.column("entity").dictionary_encode()
         codes = names.indices.to_numpy(zero_copy_only=False)
-        starts = batch.column("start").to_numpy(zero_copy_only=False)
-        levels = batch.column("level").to_numpy(zero_copy_only=False).astype(np.int64)
+        los = batch.column("lo").to_numpy(zero_copy_only=False)
+        his = batch.column("hi").to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
@@ -76,7 +80,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if entity is not None:
                     out.append((pid, entity, lo, hi, before))
                 entity, lo, hi, before = name, None, None, None
-            s, k = starts[a:b], levels[a:b]
+            s, k = dyadic_blocks(los[a:b], his[a:b])
             e = s + (np.int64(1) << k)
             floor = np.int64(hi) if hi is not None else np.iinfo(np.int64).min
             prior = np.maximum.accumulate(np.concatenate([[floor], e[:-1]]))
@@ -115,11 +119,12 @@ def _carried(last: list) -> list[tuple]:
 def coverage(df: DataFrame, entity: str, offset: str, size: str) -> DataFrame:
     """Continuous covered periods and the gaps between them: ``entity``, kind, start_offset, end_offset.
 
-    Intervals ``[offset, offset + size)`` are decomposed into canonical dyadic blocks; blocks covered by
-    an ancestor are removed, sibling pairs merged upward and adjacent blocks coalesced. The blocks are
-    range-partitioned by (entity, start), so one entity with a third of all rows spreads over many tasks,
-    and each task sweeps its sorted blocks once, batch by batch. Ranges that cross a border between tasks
-    are stitched with one row per task (its open range), which is all that reaches the driver.
+    The extents ``[offset, offset + size)`` are range-partitioned by (entity, offset), so one entity with a
+    third of all rows spreads over many tasks, and each task sweeps its sorted extents once, batch by batch:
+    it decomposes them into canonical dyadic blocks, removes blocks covered by an ancestor, merges sibling
+    pairs upward and coalesces adjacent blocks. Extents are shuffled, never blocks. Ranges that cross a border
+    between tasks are stitched with one row per task (its open range), which is all that reaches the driver.
+    The sweep runs when this function is called; the stitching is lazy.
 
     Defined results: rows with NULL entity, offset or size, or a size of zero or less, don't count; repeated
     rows change nothing; ranges that touch are one; an end beyond BIGINT is cut to its largest value;
@@ -129,11 +134,10 @@ def coverage(df: DataFrame, entity: str, offset: str, size: str) -> DataFrame:
     extents = (
         df.select(df[entity].cast("string").alias("entity"), df[offset].cast("long").alias("lo"), df[size].cast("long").alias("n"))
         .where("entity IS NOT NULL AND lo IS NOT NULL AND n > 0")
-        .groupBy("entity", "lo")
-        .agg(F.max("n").alias("n"))
         .select("entity", "lo", F.coalesce(F.expr("try_add(lo, n)"), F.lit(_LAST)).alias("hi"))
+        .where("lo < hi")
     )
-    swept = dyadic_blocks(extents).repartitionByRange(parallelism(spark), "entity", "start").sortWithinPartitions("entity", "start").mapInArrow(_sweep, _RANGES)
+    swept = extents.repartitionByRange(parallelism(spark), "entity", "lo").sortWithinPartitions("entity", "lo").mapInArrow(_sweep, _RANGES)
     ranges, _ = written(swept, "ranges")
     ends = F.max_by(F.struct("lo", "hi"), F.struct("entity", "lo"))
     last = ranges.groupBy("pid").agg(F.max("entity").alias("entity"), ends.alias("last")).collect()  # one row per task

@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+_OWN: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made;
-    the session then also gets it as checkpoint folder.
+    Only where that is unset and all runs on one machine (tests), a temporary folder is made and given to the
+    session as checkpoint folder; on a cluster an unset one is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="tephra-"))
-        spark.sparkContext.setCheckpointDir(_LOCAL[0])
-    return "file://" + _LOCAL[0]
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN:
+        made = tempfile.mkdtemp(prefix="tephra-")
+        atexit.register(shutil.rmtree, made, True)
+        context.setCheckpointDir(made)
+        _OWN[context.applicationId] = "file://" + made
+    return _OWN[context.applicationId]
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/tephra/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is left there goes when the application ends."""
+    base = f"{shared_folder(spark)}/tephra/{spark.sparkContext.applicationId}"
+    if base not in _MARKED:
+        _MARKED.add(base)
+        p = spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    return f"{base}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
