@@ -228,14 +228,14 @@ def test_sweep_takes_keys_across_batches(monkeypatch, batch, crowd):
     monkeypatch.setattr(near_duplicates, "CROWD", crowd)
     r = random.Random(batch)
     data = sorted((k << 16 | r.randint(0, 9), r.randint(0, 40)) for k in range(30) for _ in range(r.choice([1, 1, 2, 3, 8])))
-    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in data[i : i + batch]]), pa.array([y for _, y in data[i : i + batch]])], names=["kq", "id"]) for i in range(0, len(data), batch)]
-    out = [tuple(x.values()) for b in near_duplicates._meeting(4, False)(iter(batches)) for x in b.to_pylist()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in data[i : i + batch]]), *[pa.array([y for _, y in data[i : i + batch]])] * 2], names=["kq", "id", "sketch"]) for i in range(0, len(data), batch)]
+    out = [tuple(x.values()) for b in near_duplicates._meeting(4, 2, False)(iter(batches)) for x in b.to_pylist()]
     apart = sorted((k, a) for a, _, k in out if k is not None)
     by_key = {}
     for kq, i in data:
         by_key.setdefault(kq >> 16, []).append((kq, i))
     assert apart == sorted((k, i) for k, v in by_key.items() if len(v) > crowd for _, i in v)
-    want = sorted((min(i, j), max(i, j)) for v in by_key.values() if len(v) <= crowd for n, (x, i) in enumerate(v) for y, j in v[n + 1 :] if i != j and y - x <= 4)
+    want = sorted((min(i, j), max(i, j)) for v in by_key.values() if len(v) <= crowd for n, (x, i) in enumerate(v) for y, j in v[n + 1 :] if i != j and y - x <= 4 and (i ^ j).bit_count() <= 2)
     assert sorted((a, b) for a, b, k in out if k is None) == want
 
 
