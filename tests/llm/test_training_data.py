@@ -257,9 +257,28 @@ def test_dart_signatures_estimate_weighted_similarity(scale):
 
 
 def test_differencing_balances():
-    parts = packing.differencing([8, 7, 6, 5, 4], 2)
-    assert sorted(i for p in parts for i in p) == [0, 1, 2, 3, 4]
-    assert abs(sum([8, 7, 6, 5, 4][i] for i in parts[0]) * 2 - 30) <= 4
+    sizes = np.array([8, 7, 6, 5, 4])
+    part = packing.differencing(sizes, 2)
+    assert set(part.tolist()) == {0, 1} and abs(int(sizes[part == 0].sum()) * 2 - 30) <= 4
+    assert len(set(packing.differencing(sizes, 5).tolist())) == 5 and set(packing.differencing(sizes[:1], 3).tolist()) == {0}
+
+
+def first_fit_decreasing(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        at = next((i for i, r in enumerate(rooms) if r >= s), None)
+        if at is None:
+            rooms.append(capacity - s)
+        else:
+            rooms[at] -= s
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low,high", [(50, 1500), (1, 300), (400, 800), (1, 2048), (600, 700), (10, 20)])
+def test_windows_are_about_as_few_as_first_fit_decreasing_needs(low, high):
+    r = random.Random(low)
+    sizes = [r.randint(low, high) for _ in range(1000)]
+    assert len(packing.windows(sizes, 2048)) <= 1.02 * first_fit_decreasing(sizes, 2048) + 1
 
 
 @pytest.mark.parametrize("seed", range(8))
