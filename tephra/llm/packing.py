@@ -229,11 +229,9 @@ def pack(
 
     # Measured once and written, without texts, so that blocks can follow the number of parts.
     items, _ = written(rows.mapInArrow(measure, f"key {kind}, source string, capacity long, part int, start_pos long, end_pos long, tokens long"), "measured")
-    counts = items.groupBy("source", "capacity").agg(F.ceil(F.count("*") / F.lit(block_items)).cast("int").alias("blocks"))
-    same = items["source"].eqNullSafe(counts["source"]) & (items["capacity"] == counts["capacity"])
-    dealt = items.join(counts.select(counts["source"], counts["capacity"], "blocks"), same).select(
-        items["source"], items["capacity"], "key", "part", "start_pos", "end_pos", "tokens", F.pmod(F.xxhash64("key", "part"), F.col("blocks")).cast("int").alias("block")
-    )
+    counts = items.groupBy(F.col("source").alias("of"), F.col("capacity").alias("at")).agg(F.ceil(F.count("*") / F.lit(block_items)).cast("int").alias("blocks"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("capacity") == F.col("at"))
+    dealt = items.join(counts, same).withColumn("block", F.pmod(F.xxhash64("key", "part"), F.col("blocks")).cast("int")).select("source", "capacity", "key", "part", "start_pos", "end_pos", "tokens", "block")
     # As many tasks as asked for: packing costs time by items, not by bytes, so few bytes are no reason to merge tasks.
     dealt = dealt.repartition(max(parallelism(documents.sparkSession), documents.sparkSession.sparkContext.defaultParallelism), "source", "capacity", "block")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -30,15 +30,15 @@ ANY, LOWER, UPPER, DIGIT = r"\s", r"\s+\p{Ll}", r"\s+[\p{Lu}\p{Lt}]", r"\s+\p{Nd
 
 #: Rule tables; in each the first rule that matches decides, a position none matches goes on to the next table.
 TABLES: dict[str, list[Rule]] = {
-    # Names of devices and the like may begin a sentence in lower case.
+    # Identifiers such as sda1 keep their lower case at the beginning of a sentence.
     "names": [
         Rule(False, r"(?<![\p{L}\p{N}])(?:vs|cf|Cf|p|pp|fig|chap|cap)\.", ANY),
-        Rule(True, r"[.!?…]+[\p{Pe}\p{Pf}\"]*", r"\s+(?:sd|hd|nvme|vd|mmcblk|loop)[a-z]?\d"),
+        Rule(True, r"[.!?…]+[\p{Pe}\p{Pf}\"]*", r"\s+\p{Ll}+\p{Nd}+(?![\p{L}\p{N}])"),
     ],
     "en": [
         _abbreviations("Dr Mr Mrs Ms Prof Rev Hon St Gen Col Sgt Capt Lt Jr Sr vs Messrs", ANY),
         _abbreviations("i.e e.g al cf viz approx incl resp ca Ltd Inc Co Corp a.m p.m etc", LOWER),
-        _abbreviations("p pp fig figs sect sec ch chap vol para art eq app no nos ed", r"\s+[\p{Nd}\p{Lu}]"),
+        _abbreviations("p pp fig figs sect sec ch chap vol para art eq app no nos ed", r"\s+(?:\p{Nd}|[\p{Lu}](?![\p{L}\p{N}])|[IVXLC]+(?![\p{L}\p{N}]))"),
         Rule(False, r"(?<=[\p{L}\p{N},;:(]\s+)Nos?\.", DIGIT),
         Rule(False, r"(?<![\p{L}\p{N}])(?:\p{L}\.){2,}", LOWER),
     ],
@@ -50,7 +50,7 @@ TABLES: dict[str, list[Rule]] = {
         _abbreviations("Co", r"\s+KG"),
         _abbreviations("S", DIGIT),
         Rule(False, r"(?<![\p{L}\p{N}])(?:[Aa]m|[Vv]om|[Zz]um|[Bb]eim|[Ii]m|[Bb]is|[Aa]b|[Ss]eit|[Dd]e[rmns]|[Dd]ie|[Dd]as|[Jj]ede[rsmn]?|[Ii]hre?r?|[Ss]eine?r?)\s+\p{Nd}{1,3}\.", UPPER),
-        Rule(False, r"(?<!\p{Nd})\p{Nd}{1,2}\.", r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)"),
+        Rule(False, r"(?<!\p{Nd})\p{Nd}{1,2}\.", r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)(?!\p{L})"),
     ],
     "fr": [
         _abbreviations("M MM Mme Mlle Dr Me Pr Éts Ets St Ste chap env fig figs p pp art vol réf tél av bd c.-à-d cf Cf n° éd", ANY),
@@ -75,7 +75,22 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, r"(?<![。！？]…?)(?<!…)…", r"(?!\s)"),
         Rule(True, r"(?:[。！？｡]|……)+…*", ""),
     ],
-    "th": [Rule(True, r"\S", r"[ \t\u00a0]")],
+    # A space ends a sentence, but within a run of Latin words it is one of theirs.
+    "th": [
+        Rule(False, r"(?<!\S)[\p{Latin}\p{N}\p{P}]+", r"[ \t\u00a0]+\p{Latin}"),
+        Rule(True, r"\S", r"[ \t\u00a0]"),
+    ],
+    "cyrillic": [
+        _abbreviations("г гг т тт стр рис табл см ср им ул д корп кв проф акад др пр гл ст", r"\s+[\p{Nd}\p{Lu}«]"),
+        _abbreviations("г гг тыс млн млрд руб коп др пр е д п к т", LOWER),
+        Rule(False, r"(?<![\p{L}\p{N}])т\.", r"\s+(?:е|д|п|к|н)\."),
+    ],
+    "greek": [
+        _abbreviations("π.χ δηλ κ κα βλ σελ αρ πρβλ κεφ εικ", ANY),
+        _abbreviations("κ.λπ κ.ά κτλ", LOWER),
+        Rule(True, r"[;\u037e][\p{Pe}\p{Pf}\"]*", ANY),
+    ],
+    "hangul": [],
     "common": [
         Rule(False, r"(?<![\p{L}\p{N}])[\p{Lu}]\.", r"\s+\p{Lu}"),
         # Sentences that follow each other without a space.
@@ -83,15 +98,29 @@ TABLES: dict[str, list[Rule]] = {
         Rule(True, r"\p{L}\p{Ll}[.!?…]+", r"[¿¡«“‘„(]"),
         Rule(False, r"(?:\.\.+|…)", LOWER),
         Rule(False, r"[.!?…؟][\p{Pe}\p{Pf}\p{Pi}\"\s]*", r"\s*\p{Ll}"),
-        Rule(True, r"[.!?…؟。！？।॥]+[\p{Pe}\p{Pf}\p{Pi}\"\s]*", ANY),
+        Rule(True, r"[.!?…؟。！？।॥۔։።།။។៕]+[\p{Pe}\p{Pf}\p{Pi}\"\s]*", ANY),
     ],
 }
 
 _LATIN = ["names", "en", "de", "fr", "es", "common"]
-#: Which tables a passage goes through, by its script.
-CASCADES = {"latin": _LATIN, "ar": ["ar", *_LATIN], "hi": ["hi", *_LATIN], "cjk": ["cjk", *_LATIN], "th": ["th", *_LATIN]}
+#: Which tables a passage goes through: by its language where function words tell it, else by its script. Latin words
+#: within another script, or without function words, may be of any of the languages.
+CASCADES = {
+    **{language: ["names", language, "common"] for language in ("en", "de", "fr", "es")},
+    "latin": _LATIN,
+    **{script: [script, *_LATIN] for script in ("ar", "hi", "cjk", "th", "cyrillic", "greek", "hangul")},
+}
 
-_MARK = regex.compile(r"[.!?…؟]+|[。！？｡।॥][。！？｡।॥!?…]*")
+#: Words that tell the languages of the Latin script apart.
+FUNCTION_WORDS = {
+    "en": "the of and to in is was were are it that for with on as at by from this not had has which be or an after before only while when did does why who what see",
+    "de": "der die das und ist nicht ein eine einen dem den des von zu mit auf für im wurde wird sind war als auch nach bei aus wer wie wo wann um dass noch nur bitte",
+    "fr": "le la les des un une et est dans pour sur avec ne pas que qui du au aux par ce cette sont été plus ou où à il elle voir pourquoi l d qu",
+    "es": "el la los las un una y es en que de del para con por se no su al lo como más fue está son qué quién cuándo",
+}
+
+_MARK = regex.compile(r"[.!?…؟]+|[。！？｡।॥][。！？｡।॥!?…]*|[۔։።།။។៕]+")
+_GREEK_MARK = regex.compile(r"[;\u037e]")
 _THAI_GAP = regex.compile(r"(?<=\S)[ \t\u00a0]+(?=\S)")
 _PAIR = regex.compile(r"[()\[\]（）［］【】「」『』《》〈〉“”„‘’‚«»\"]")
 _CLOSES = {")": "(", "]": "[", "）": "（", "］": "［", "】": "【", "」": "「", "』": "『", "》": "《", "〉": "〈"}
@@ -99,32 +128,66 @@ _OPENS = frozenset("([（［【「『《〈„‚‘")
 _TAIL = regex.compile(r"[\p{Pe}\p{Pf}\p{Pi}\"\s]*")
 _UNIT_LINE = regex.compile(r"\s*(?:#+ |[-*] |\d+\. |\d{4}-\d\d-\d\d[T ]\d\d:\d\d)")
 _FENCE = regex.compile(r"\s*(```+|~~~+)")
-_SCRIPTS = (("th", regex.compile(r"\p{Thai}")), ("cjk", regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")))
+#: Scripts, and what a letter of theirs counts against one of the Latin script, which needs more of them for a word.
+_SCRIPTS = {"th": 2, "cjk": 3, "hi": 1, "ar": 1, "cyrillic": 1, "greek": 1, "hangul": 2, "latin": 1}
+_SCRIPT_RUNS = regex.compile(r"(\p{Thai}+)|([\p{Han}\p{Hiragana}\p{Katakana}]+)|(\p{Devanagari}+)|(\p{Arabic}+)|(\p{Cyrillic}+)|(\p{Greek}+)|(\p{Hangul}+)|(\p{Latin}+)")
+_WORD = regex.compile(r"\p{Latin}+")
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _language, _words in FUNCTION_WORDS.items():
+    for _word in _words.split():
+        _LANGUAGES_OF.setdefault(_word, []).append(_language)
+
+
+def script_of(text: str) -> str:
+    """The script that most of the letters are of."""
+    if text.isascii():
+        return "latin"
+    names, total = list(_SCRIPTS), [0] * len(_SCRIPTS)
+    for m in _SCRIPT_RUNS.finditer(text):
+        total[m.lastindex - 1] += m.end() - m.start()
+    return max(zip((n * _SCRIPTS[s] for n, s in zip(total, names)), (-i for i in range(len(names))), names))[2] if any(total) else "latin"
+
+
+def language_of(text: str) -> str | None:
+    """The language most function words of a Latin text are of; None if none leads."""
+    seen: dict[str, int] = {}
+    for word in _WORD.findall(text.lower()):
+        for language in _LANGUAGES_OF.get(word, ()):
+            seen[language] = seen.get(language, 0) + 1
+    best = sorted(seen.items(), key=lambda x: -x[1])[:2]
+    return best[0][0] if best and (len(best) < 2 or best[0][1] > best[1][1]) else None
 
 
 @cache
-def _decider(script: str) -> tuple[regex.Pattern, tuple[bool, ...]]:
+def _decider(cascade: str) -> tuple[regex.Pattern, tuple[bool, ...]]:
     """One pattern for a cascade; the number of the group that matches names the rule."""
-    rules = [r for name in CASCADES[script] for r in TABLES[name]]
+    rules = [r for name in CASCADES[cascade] for r in TABLES[name]]
     return regex.compile("|".join(rf"((?<={r.before})(?={r.after}))" for r in rules)), tuple(r.breaks for r in rules)
 
 
 def _enclosed(text: str) -> list[tuple[int, int]]:
     """Outermost stretches inside matching quotation marks or brackets."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}
     spans: list[tuple[int, int]] = []
 
     def close(depth: int, end: int) -> None:
         start = stack[depth][1]
+        for opened, _ in stack[depth:]:
+            waiting[opened] -= 1
         del stack[depth:]
         while spans and spans[-1][0] > start:
             spans.pop()
         spans.append((start, end))
 
+    def opens(ch: str, at: int) -> None:
+        stack.append((ch, at))
+        waiting[ch] = waiting.get(ch, 0) + 1
+
     for m in _PAIR.finditer(text):
         ch, at = m.group(), m.start()
         if ch in _OPENS:
-            stack.append((ch, at))
+            opens(ch, at)
             continue
         if ch in _CLOSES:
             wanted = (_CLOSES[ch],)
@@ -140,23 +203,20 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
             wanted = ("»",)
         else:
             wanted = ('"',)
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in wanted:
-                close(depth, at + 1)
-                break
-        else:
-            if ch in '“«»"':
-                stack.append((ch, at))
+        if any(waiting.get(w) for w in wanted):
+            close(next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] in wanted), at + 1)
+        elif ch in '“«»"':
+            opens(ch, at)
     return spans
 
 
-def _passage(text: str, base: int, out: list[tuple[int, int]]) -> None:
-    """Sentences of a run of lines between blank lines."""
-    script = next((name for name, p in _SCRIPTS if p.search(text)), "latin")
-    pattern, breaks = _decider(script)
+def _passage(text: str, base: int, out: list[tuple[int, int]], whole: Callable[[], str | None]) -> None:
+    """Sentences of a run of lines between blank lines; ``whole`` tells the language of the document, if a passage doesn't."""
+    script = script_of(text)
+    pattern, breaks = _decider((language_of(text) or whole() or script) if script == "latin" else script)
     spans = _enclosed(text)
     starts = [s for s, _ in spans]
-    begin, size = 0, len(text)
+    begin, size, last = 0, len(text), len(text.rstrip())
 
     def cut(at: int) -> None:
         nonlocal begin
@@ -169,6 +229,8 @@ def _passage(text: str, base: int, out: list[tuple[int, int]]) -> None:
     places = [(m.start(), m.end()) for m in _MARK.finditer(text)]
     if script == "th":
         places = sorted(places + [(m.start(), m.start()) for m in _THAI_GAP.finditer(text)])
+    elif script == "greek":
+        places = sorted(places + [(m.start(), m.end()) for m in _GREEK_MARK.finditer(text)])
     for start, end in places:
         if end < begin:
             continue
@@ -181,7 +243,7 @@ def _passage(text: str, base: int, out: list[tuple[int, int]]) -> None:
         else:
             while end < size and text[end] in "”’»)]）」』》":
                 end += 1
-        if not text[end:].strip():
+        if end >= last:
             continue
         m = pattern.match(text, end)
         if m and breaks[m.lastindex - 1]:
@@ -193,11 +255,12 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Start and end (exclusive) of every sentence unit of ``text``, in code points."""
     out: list[tuple[int, int]] = []
     at, run, fence = 0, None, None
+    whole = cache(lambda: language_of(text))
 
     def flush(end: int) -> None:
         nonlocal run
         if run is not None:
-            _passage(text[run:end], run, out)
+            _passage(text[run:end], run, out, whole)
         run = None
 
     def unit(line: str, begin: int) -> None:
@@ -232,7 +295,8 @@ def sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, start_pos, end_pos of every sentence unit of every text.
 
     Ordered break and no-break rule pairs decide each position after a closing mark (in Thai each space):
-    the passage's script picks a cascade of tables, and the first rule that matches decides. Blank lines end
+    the language of a passage, told by its function words, or else the script of most of its letters picks a
+    cascade of tables, and the first rule that matches decides. Time is linear in the text. Blank lines end
     a unit; headings, list items, dated lines and lines of a fenced block are units; marks within quotation
     marks or brackets belong to the sentence around them. The language column is not trusted.
 

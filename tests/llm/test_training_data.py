@@ -368,6 +368,12 @@ CASES = [
     ("قال د. Bo إنه اختفى. هل لم يستجب؟ لا.", ["قال د. Bo إنه اختفى.", "هل لم يستجب؟", "لا."]),
     ("ห้ามแตะดิสก์ ไฟล์หายไปแล้ว", ["ห้ามแตะดิสก์", "ไฟล์หายไปแล้ว"]),
     ("# A. B\n- c. d\n2031-01-02T03:04:05Z x. y\n```\na. b\n```\none\r\ntwo.\r\n\r\nthree", ["# A. B", "- c. d", "2031-01-02T03:04:05Z x. y", "```", "a. b", "```", "one\r\ntwo.", "three"]),
+    ("The tool names it ไฟล์ in the log file today. It is fine. Ask Dr. Wu.", ["The tool names it ไฟล์ in the log file today.", "It is fine.", "Ask Dr. Wu."]),
+    ("ถาม Dr. Wu แล้วห้ามแตะดิสก์", ["ถาม", "Dr. Wu", "แล้วห้ามแตะดิสก์"]),
+    ("See the file art. Then go on. See art. 5 of it. The disk sda1 failed. sdb2 is fine.", ["See the file art.", "Then go on.", "See art. 5 of it.", "The disk sda1 failed.", "sdb2 is fine."]),
+    ("Файл стёрт, см. рис. 3. Диск цел, т. е. всё хорошо! Готово?", ["Файл стёрт, см. рис. 3.", "Диск цел, т. е. всё хорошо!", "Готово?"]),
+    ("Πού είναι; Βλ. σελ. 3. Τέλος.", ["Πού είναι;", "Βλ. σελ. 3.", "Τέλος."]),
+    ("파일이 없다. 디스크는 3.5 GB이다! 왜? 끝.", ["파일이 없다.", "디스크는 3.5 GB이다!", "왜?", "끝."]),
     ("It ended.Then it began. (See it. Now.) Done...", ["It ended.", "Then it began.", "(See it. Now.)", "Done..."]),
 ]
 
@@ -377,6 +383,15 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == want
 
 
+def test_sentence_time_is_linear():
+    import time
+
+    for text in ("Some words here. " * 120_000, "(word’s. " * 200_000, "ไฟล์หาย " * 200_000):
+        began = time.thread_time()
+        assert sentences.sentence_spans(text)
+        assert time.thread_time() - began < 30
+
+
 def test_sentence_units_lose_nothing_but_blanks():
     r = random.Random(6)
     for _ in range(200):
