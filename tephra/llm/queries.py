@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .near_duplicates import near_groups, near_pairs
 from .packing import pack
 from .sentences import sentences
 from .splitting import split_texts
-from .survivors import Candidate, half_life_decay, linear_decay, pick_columns, rank_trust, survivors
+from .survivors import Candidate, pick_columns, shared_vote, standing, survivors
 
 P1_FIELDS = ["created", "modified", "thumbnail", "master"]
 
@@ -28,35 +29,37 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.join(files, "path").join(sources, "source_root", "left")
 
 
-def _survivors(copies: DataFrame, agreed: bool) -> DataFrame:
-    """The four fields that come from the best copy; with ``agreed`` also those that copies vote on by equal values."""
+def _survivors(copies: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """The four fields that come from the best copy; with ``as_of`` also those that copies vote on by equal values."""
     c = {n: copies[n] for n in copies.columns}
     dated = lambda t: t.isNotNull() & (t >= F.lit("1980-01-01").cast("timestamp")) & (t <= c["indexed_at"])
     shown = c["thumbnail"].isNotNull() & ~F.lower(F.trim(c["thumbnail"])).isin("", "null", "n/a")
     usable = {"created": dated(c["created"]), "modified": dated(c["modified"]), "thumbnail": shown}
     known = sum((F.coalesce(u, F.lit(False)).cast("int") for u in usable.values()), F.lit(0))
     value = lambda f: F.unix_micros(c[f]) if f != "thumbnail" else c[f]
-    best = [Candidate(f, value(f), u) for f, u in usable.items()]
-    best.append(Candidate("master", c["path"], F.lit(True), weight=F.pow(F.lit(2.0), 301 * (known - F.lit(3)).cast("double"))))
+    best = [Candidate(f, value(f), u, standing(c["trust_rank"], c["indexed_at"])) for f, u in usable.items()]
+    best.append(Candidate("master", c["path"], F.lit(True), standing(c["trust_rank"], c["indexed_at"], known)))
+    if as_of is None:
+        return survivors(copies, "group_id", "file_id", best)
+    vote = shared_vote(c["trust_rank"], c["indexed_at"], F.lit(as_of).cast("timestamp"))
     voted = [
-        Candidate("hash", F.lower(F.trim(c["hash"])), c["hash"].isNotNull(), F.lower(F.trim(c["hash"]))),
-        Candidate("size", c["size"], c["size"] > 0, c["size"]),
-        Candidate("extension", F.lower(c["extension"]), F.trim(c["extension"]) != "", F.lower(F.trim(c["extension"]))),
+        Candidate("hash", F.lower(F.trim(c["hash"])), F.trim(c["hash"]) != "", vote, F.lower(F.trim(c["hash"]))),
+        Candidate("size", c["size"], c["size"] > 0, vote, c["size"]),
+        Candidate("extension", F.lower(F.trim(c["extension"])), F.trim(c["extension"]) != "", vote, F.lower(F.trim(c["extension"]))),
     ]
-    as_of = F.lit("2060-01-01").cast("timestamp")
-    order = [-F.coalesce(c["trust_rank"], F.lit(1 << 30)), c["indexed_at"]]
-    return survivors(copies, "group_id", "file_id", best + voted * agreed, rank_trust(c["trust_rank"]), linear_decay(c["indexed_at"], as_of), order)
+    return survivors(copies, "group_id", "file_id", best + voted)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _survivors(_copies(spark, sf_dir), agreed=False).where("copies >= 2")
+    one = _survivors(_copies(spark, sf_dir)).where("copies >= 2")
     return pick_columns(one, "group_id", P1_FIELDS).withColumnRenamed("record", "file_id")
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving record of each group, with wasted_bytes as the bytes of all copies but the master's."""
+    """The surviving record of each group, with wasted_bytes as the bytes of all copies but the master's; 0 where no copy has a usable time or size."""
     copies = _copies(spark, sf_dir)
-    one = _survivors(copies, agreed=True).where("copies >= 2")
+    as_of = table(spark, sf_dir, "files").agg(F.max("indexed_at")).first()[0]
+    one = _survivors(copies, as_of or datetime(1970, 1, 1)).where("copies >= 2")
     bytes_ = copies.select("group_id", "file_id", "size").dropDuplicates(["group_id", "file_id"]).groupBy("group_id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("all_bytes"))
     sizes = table(spark, sf_dir, "files").groupBy("file_id").agg(F.max(F.coalesce("size", F.lit(0))).alias("kept_bytes"))
     whole = one.join(bytes_, "group_id").join(sizes, F.col("master.record") == F.col("file_id"))
@@ -64,11 +67,11 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "group_id",
         "copies",
         F.col("master.value").alias("master"),
-        F.timestamp_micros(F.col("created.value").cast("long")).alias("created"),
-        F.timestamp_micros(F.col("modified.value").cast("long")).alias("modified"),
+        F.coalesce(F.col("created.value").cast("long"), F.lit(0)).alias("created_us"),
+        F.coalesce(F.col("modified.value").cast("long"), F.lit(0)).alias("modified_us"),
         F.col("thumbnail.value").alias("thumbnail"),
         F.col("hash.value").alias("hash"),
-        F.col("size.value").cast("long").alias("size"),
+        F.coalesce(F.col("size.value").cast("long"), F.lit(0)).alias("size"),
         F.col("extension.value").alias("extension"),
         (F.col("all_bytes") - F.col("kept_bytes")).alias("wasted_bytes"),
     )
@@ -173,6 +176,36 @@ long AS (
 SELECT group_id, field, file_id FROM (
   SELECT *, row_number() OVER (PARTITION BY group_id, field ORDER BY known DESC, trust_rank, indexed_at DESC, file_id) AS rn
   FROM long WHERE group_id IN (SELECT group_id FROM big)) WHERE rn = 1""",
+    "p1_survivors": """
+WITH members AS (
+  SELECT DISTINCT group_id, unnest(list_concat([master], coalesce(duplicates, []))) AS path FROM dup_groups),
+copies AS (
+  SELECT DISTINCT m.group_id, f.file_id, f.path, coalesce(f.size, 0) AS size, epoch_us(f.created) AS created_us, epoch_us(f.modified) AS modified_us, f.thumbnail,
+    lower(trim(f.hash)) AS hash, lower(trim(f.extension)) AS extension, f.indexed_at, coalesce(s.trust_rank, 1000000) AS rank,
+    coalesce(f.created >= TIMESTAMPTZ '1980-01-01 00:00:00+00' AND f.created <= f.indexed_at, false) AS created,
+    coalesce(f.modified >= TIMESTAMPTZ '1980-01-01 00:00:00+00' AND f.modified <= f.indexed_at, false) AS modified,
+    coalesce(lower(trim(f.thumbnail)) NOT IN ('', 'null', 'n/a'), false) AS shown,
+    greatest(coalesce(1000000000 // (1 + s.trust_rank), 1), 1)::HUGEINT
+      * greatest(coalesce(1000000 // (1 + greatest((epoch_us((SELECT max(indexed_at) FROM files)) - epoch_us(f.indexed_at)) // 86400000000, 0)), 1), 1) AS vote
+  FROM members m JOIN files f ON f.path = m.path LEFT JOIN sources s ON s.source_root = f.source_root),
+big AS (SELECT group_id, count(*) AS copies, sum(size)::BIGINT AS bytes FROM copies GROUP BY group_id HAVING count(*) >= 2),
+master AS (
+  SELECT group_id, path, size FROM copies
+  QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY created::INT + modified::INT + shown::INT DESC, rank, indexed_at DESC, file_id) = 1),
+made AS (SELECT group_id, created_us FROM copies WHERE created QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY rank, indexed_at DESC, file_id) = 1),
+changed AS (SELECT group_id, modified_us FROM copies WHERE modified QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY rank, indexed_at DESC, file_id) = 1),
+pictured AS (SELECT group_id, thumbnail FROM copies WHERE shown QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY rank, indexed_at DESC, file_id) = 1),
+long AS (
+  SELECT group_id, 'hash' AS field, hash AS same, vote, file_id FROM copies WHERE hash <> ''
+  UNION ALL SELECT group_id, 'size', size::VARCHAR, vote, file_id FROM copies WHERE size > 0
+  UNION ALL SELECT group_id, 'extension', extension, vote, file_id FROM copies WHERE extension <> ''),
+summed AS (
+  SELECT group_id, field, same, sum(vote) OVER (PARTITION BY group_id, field, same) AS votes, vote AS most, file_id FROM long
+  QUALIFY row_number() OVER (PARTITION BY group_id, field, same ORDER BY vote DESC, file_id) = 1),
+won AS (SELECT group_id, field, same FROM summed QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY votes DESC, most DESC, file_id) = 1)
+SELECT b.group_id, b.copies, m.path AS master, coalesce(created_us, 0) AS created_us, coalesce(modified_us, 0) AS modified_us, p.thumbnail, h.same AS hash, coalesce(s.same::BIGINT, 0) AS size, x.same AS extension, b.bytes - m.size AS wasted_bytes
+FROM big b JOIN master m ON m.group_id = b.group_id LEFT JOIN made c ON c.group_id = b.group_id LEFT JOIN changed d ON d.group_id = b.group_id LEFT JOIN pictured p ON p.group_id = b.group_id
+LEFT JOIN won h ON h.group_id = b.group_id AND h.field = 'hash' LEFT JOIN won s ON s.group_id = b.group_id AND s.field = 'size' LEFT JOIN won x ON x.group_id = b.group_id AND x.field = 'extension'""",
     "p3_found": _LINKED + "SELECT file_id, group_id FROM linked",
     "p4_found": r"""
 WITH sized AS (

@@ -28,18 +28,17 @@ def elected(spark, data):
     df = spark.createDataFrame([(*x, "q", 1, "v") for x in data], COPY)
     known = F.col("a").isNotNull().cast("int") + F.col("b").isNotNull().cast("int")
     fields = [
-        survivors.Candidate("a", df["a"], df["a"].isNotNull()),
-        survivors.Candidate("b", df["b"], df["b"].isNotNull(), F.lower(df["b"])),
-        survivors.Candidate("whole", df["a"], F.lit(True), weight=F.pow(F.lit(2.0), 301 * (known - 2).cast("double"))),
+        survivors.Candidate("a", df["a"], df["a"].isNotNull(), survivors.standing(df["rank"], df["seen"])),
+        survivors.Candidate("b", df["b"], df["b"].isNotNull(), survivors.shared_vote(df["rank"], df["seen"], F.lit(T).cast("timestamp")), F.lower(df["b"])),
+        survivors.Candidate("whole", df["a"], F.lit(True), survivors.standing(df["rank"], df["seen"], known)),
     ]
-    recency = survivors.linear_decay(df["seen"], F.lit("2060-01-01").cast("timestamp"))
-    return survivors.survivors(df, "grp", "rec", fields, survivors.rank_trust(df["rank"]), recency, [-df["rank"], df["seen"]])
+    return survivors.survivors(df, "grp", "rec", fields)
 
 
 def test_survivor_takes_each_field_from_the_best_copy(spark):
     us = dt.timedelta(microseconds=1)
     data = [
-        (1, 10, 2, T, "x", "P", ),
+        (1, 10, 2, T, "x", "P"),
         (1, 11, 1, T, None, "q"),
         (1, 12, 2, T + us, "y", "p"),
         (1, 13, 2, T + us, "y", None),
@@ -51,13 +50,31 @@ def test_survivor_takes_each_field_from_the_best_copy(spark):
     got = {r["grp"]: r for r in elected(spark, data).collect()}
     assert set(got) == {1, 2} and got[1]["copies"] == 4 and got[2]["copies"] == 1
     assert got[1]["a"]["record"] == 12 and got[1]["a"]["value"] == "y"  # later by a microsecond, then the smaller id
-    # Two copies of rank 2 weigh as one of rank 1, and one of them was seen a microsecond later.
-    assert got[1]["b"]["value"] == "p" and got[1]["b"]["record"] == 12
+    # Two copies of trust a third each outweigh one of a half; of the two the smaller record stands for both.
+    assert got[1]["b"]["value"] == "P" and got[1]["b"]["record"] == 10
     assert got[1]["whole"]["record"] == 12
     assert got[2]["b"] is None or got[2]["b"]["value"] is None
     assert elected(spark, []).count() == 0
 
 
+def test_votes_alone_order_copies_by_completeness_rank_and_time(spark):
+    r = random.Random(11)
+    ranks = [None, 0, 1, 2, 119, 300, 301, 5000, (1 << 31) - 1]
+    times = [None, dt.datetime(1, 1, 2), dt.datetime(1970, 1, 1), dt.datetime(1979, 5, 5), T, T + dt.timedelta(microseconds=1), dt.datetime(9999, 1, 1)]
+    data = [(r.randint(1, 60), i, r.choice(ranks), r.choice(times), r.choice([None, "x"]), r.choice([None, "y"])) for i in range(600)]
+    got = {x["grp"]: x for x in elected(spark, data).collect()}
+    least = dt.datetime(1, 1, 1)
+
+    def best(copies, known):
+        return min(copies, key=lambda c: (-known(c), c[2] if c[2] is not None else 1 << 32, least - (c[3] or least), c[1]))[1]
+
+    for g, x in got.items():
+        copies = [c for c in data if c[0] == g]
+        assert x["whole"]["record"] == best(copies, lambda c: (c[4] is not None) + (c[5] is not None))
+        with_a = [c for c in copies if c[4]]
+        assert (x["a"]["record"] if x["a"] else None) == (best(with_a, lambda c: 0) if with_a else None)
+
+
 def test_survivor_votes_add_up_by_normalised_value(spark):
     data = [(1, 1, 1, T, None, "lone"), *((1, i, 2, T, None, "Many" if i % 2 else "MANY") for i in range(2, 6))]
     b = elected(spark, data).first()["b"]
