@@ -2,64 +2,118 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import forget, written
 
 
+class StateConflict(Exception):
+    """Another writer has made the version that this one was to follow obsolete."""
+
+
 class StateStore:
-    """Versions of a key and content-hash table under one folder, with one current.
+    """Versions of the tables of a state under one folder, the highest being current.
+
+    A version is first written whole, to a folder of its own, then claimed: a file that names the folder appears
+    under the version's number, in one atomic step that fails if the number is taken. So a run that dies earlier
+    leaves the old version current and the next run sees the same changes again, and of two writers that follow
+    the same version one wins and the other gets StateConflict, with nothing of the state lost or mixed.
 
-    A version is first written whole, then made current by an atomic rename of a one-line pointer file.
-    A run that dies before the rename leaves the old version current, so the next run sees the same
-    changes again: nothing is skipped, and nothing committed is repeated.
+    Only file systems with an atomic rename that refuses an existing target can do that; others are refused.
     """
 
+    #: Schemes of file systems that can claim a version.
+    SCHEMES = ("file", "hdfs", "viewfs")
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._files = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.scheme = self._files.getUri().getScheme()
+        if self.scheme not in self.SCHEMES:
+            raise ValueError(f"a state needs a file system with atomic rename, not {self.scheme}")
 
     def _path(self, name: str):
-        return self._fs.Path(f"{self.folder}/{name}")
+        return self._hadoop.Path(f"{self.folder}/{name}")
 
-    def _context(self):
-        return self._fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+    def _names(self, name: str) -> list[str]:
+        p = self._path(name)
+        return sorted(s.getPath().getName() for s in self._files.listStatus(p)) if self._files.exists(p) else []
 
-    def current(self) -> str | None:
-        """The name of the current version; None before the first commit."""
-        p = self._path("CURRENT")
-        files = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(p):
-            return None
-        stream = files.open(p)
+    def _versions(self) -> list[int]:
+        return [int(n) for n in self._names("claims") if n.isdigit()]
+
+    def current(self) -> int:
+        """The number of the current version; 0 before the first commit."""
+        return max(self._versions(), default=0)
+
+    def _place(self, version: int) -> str:
+        stream = self._files.open(self._path(f"claims/{version:010d}"))
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def read(self) -> DataFrame | None:
-        """The current state."""
-        name = self.current()
-        return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
-
-    def commit(self, state: DataFrame) -> str:
-        """Write ``state`` as the next version and make it current."""
-        now = self.current()
-        name = f"v{int(now[1:]) + 1 if now else 1:010d}"
-        state.write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        temporary = self._path(f"CURRENT.{name}")
-        files = temporary.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        out = files.create(temporary, True)
-        out.write(bytearray(name.encode()))
+    def read(self, name: str = "state", version: int | None = None) -> DataFrame | None:
+        """A table of the current or of the given version; None where there is none."""
+        version = version or self.current()
+        if not version:
+            return None
+        path = f"{self.folder}/data/{self._place(version)}/{name}"
+        return self.spark.read.parquet(path) if self._files.exists(self._hadoop.Path(path)) else None
+
+    def commit(self, tables: dict[str, DataFrame] | DataFrame, after: int, keep: int = 2) -> int:
+        """Write ``tables`` as the version that follows ``after`` and make it current; all but the last ``keep`` versions are deleted."""
+        version = after + 1
+        place = f"{version:010d}-{uuid.uuid4().hex}"
+        for name, df in (tables if isinstance(tables, dict) else {"state": tables}).items():
+            df.write.parquet(f"{self.folder}/data/{place}/{name}")
+        if not self._claim(version, place):
+            self._files.delete(self._path(f"data/{place}"), True)
+            raise StateConflict(f"version {version} is taken")
+        self._expire(keep)
+        return version
+
+    def _claim(self, version: int, place: str) -> bool:
+        temporary, claim = self._path(f"claims/{place}.new"), self._path(f"claims/{version:010d}")
+        self._files.mkdirs(temporary.getParent())
+        out = self._files.create(temporary, False)
+        out.write(bytearray(place.encode()))
         out.close()
-        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark._sc._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        self._context().rename(temporary, self._path("CURRENT"), options)
-        return name
+        try:
+            if self.scheme == "file":  # a link can't replace a file, a local rename would
+                os.link(temporary.toUri().getPath(), claim.toUri().getPath())
+            else:
+                context = self._hadoop.FileContext.getFileContext(claim.toUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(temporary, claim, self.spark._sc._gateway.new_array(self._hadoop.Options.Rename, 0))
+        except (FileExistsError, Py4JJavaError):
+            if not self._files.exists(claim):
+                raise
+            return False
+        finally:
+            self._files.delete(temporary, False)
+        if self.current() > version:  # the number was free only because it had expired
+            self._files.delete(claim, False)
+            return False
+        return True
+
+    def _expire(self, keep: int) -> None:
+        """Delete older versions, and what attempts at versions that others claimed have left."""
+        now = self.current()
+        kept = {self._place(v) for v in self._versions() if v > now - max(keep, 1)}
+        for v in self._versions():
+            if v <= now - max(keep, 1):
+                self._files.delete(self._path(f"claims/{v:010d}"), False)
+        for name in self._names("data"):
+            if int(name.split("-")[0]) <= now and name not in kept:
+                self._files.delete(self._path(f"data/{name}"), True)
 
 
 def content_hash(*fields: Column) -> Column:
@@ -74,7 +128,7 @@ def exact_text(c: Column, kind: str) -> Column:
 
 
 def state_of(df: DataFrame, key: str, fields: Sequence[str], lenient: dict[str, Column] | None = None, latest: Sequence[str] = ()) -> DataFrame:
-    """The state that ``df`` amounts to: one row per key with content_hash and the lenient values.
+    """The state that ``df`` amounts to: one row per key with what ``latest`` is for it, content_hash and the lenient values.
 
     Of several rows of a key the greatest by ``latest`` counts, ties go to the greatest by content.
     Rows with a NULL key leave no state.
@@ -88,7 +142,14 @@ def state_of(df: DataFrame, key: str, fields: Sequence[str], lenient: dict[str,
         *soft,
     )
     best = rows.groupBy("key").agg(F.max(F.struct(*rows.columns[1:])).alias("row"))
-    return best.select("key", "row.content_hash", *(f"row.lenient_{i}" for i in range(len(soft))))
+    return best.select("key", *(F.col(f"row.{c}").alias(c) for c in rows.columns[1:]))
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """One state of several over the same columns; of a key's rows the greatest by its order columns counts."""
+    rows = reduce(DataFrame.unionByName, states)
+    best = rows.groupBy("key").agg(F.max(F.struct(*rows.columns[1:])).alias("row"))
+    return best.select("key", *(F.col(f"row.{c}").alias(c) for c in rows.columns[1:]))
 
 
 def new_or_changed(df: DataFrame, state: DataFrame | None, key: str, fields: Sequence[str], lenient: dict[str, Column] | None = None) -> DataFrame:
@@ -118,6 +179,27 @@ def new_or_changed(df: DataFrame, state: DataFrame | None, key: str, fields: Seq
     return met.where(differs).select("row.*").distinct()
 
 
+def run_once(df: DataFrame, store: StateStore, key: str, fields: Sequence[str], lenient: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Process what is new or changed in ``df`` since the version that is current, and commit it; returns these rows.
+
+    The changed rows and the state that follows are parts of one version, so both become visible in the same
+    step: a run that dies at any point before leaves no trace that a later run would take for done, and none
+    that it would do twice. The state moves on by the changed rows alone. Raises StateConflict if another run
+    was faster; nothing of this one counts then. Keys that vanished from ``df`` stay in the state. Of different
+    rows of one key all come out and the greatest by content is remembered. ``lenient`` has a normaliser by column.
+    """
+    soft = lambda rows: {n: f(rows[n]) for n, f in (lenient or {}).items()}
+    now = store.current()
+    before = store.read(version=now)
+    fresh, at = written(new_or_changed(df, before, key, fields, soft(df)), "fresh")
+    after = state_of(fresh, key, fields, soft(fresh))
+    if before is not None:
+        after = before.join(after.select("key"), "key", "left_anti").unionByName(after)
+    version = store.commit({"changes": fresh, "state": after}, now)
+    forget(df.sparkSession, at)
+    return store.read("changes", version)
+
+
 def counting_runs(runs: DataFrame, run: str = "run_id", status: str = "status", taken_from: str = "resumed_from", done: str = "completed") -> DataFrame:
     """``run``: runs that completed, or that a completed run took over, directly or over further runs.
 

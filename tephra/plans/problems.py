@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, incremental, intervals
-from ..runtime import scratch, table
+from ..runtime import scratch, shared_folder, table, written
 
 ENTRY_FIELDS = ["source_path", "size", "blake3_hash", "exported_at", "bad_sector_notes", "verified"]
 
@@ -39,15 +42,46 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.coverage(table(spark, sf_dir, "carved_files"), "image", "byte_offset", "size")
 
 
+def _inputs(spark: SparkSession, *frames: DataFrame) -> dict[str, str]:
+    """The files behind tables, with what tells that one was replaced."""
+    out = {}
+    for path in {p for df in frames for p in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        out[path] = f"{status.getLen()} {status.getModificationTime()}"
+    return out
+
+
 def _latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State left by runs that count, committed as a version in the shared folder."""
-    entries = table(spark, sf_dir, "checkpoint_entries")
-    runs = incremental.counting_runs(table(spark, sf_dir, "index_runs"))
-    kept = entries.join(runs, "run_id", "left_semi")
-    state = incremental.state_of(kept, "path", ["size", "modified"], {"hash": diff.bare_hash(kept["hash"])}, latest=["marked_at", "run_id"])
-    store = incremental.StateStore(spark, scratch(spark, "state"))
-    store.commit(state)
-    return store.read()
+    """State left by the runs that count, kept in the shared folder from call to call.
+
+    The current version is read and used as it is if no further run counts and no file has been added; else
+    entries of runs that count since, or in files added since, are folded in and committed as the next version.
+    Only where a file that was folded in is gone or replaced the state begins anew.
+    """
+    entries, runs = table(spark, sf_dir, "checkpoint_entries"), table(spark, sf_dir, "index_runs")
+    now_there = _inputs(spark, entries, runs)
+    store = incremental.StateStore(spark, f"{shared_folder(spark)}/tephra-state/{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    while True:
+        version = store.current()
+        known = {r["path"]: r["mark"] for r in store.read("inputs", version).collect()} if version else {}
+        if known and known == now_there:
+            return store.read("state", version)
+        goes_on = known and all(now_there.get(p) == m for p, m in known.items())
+        counting = incremental.counting_runs(runs)
+        kept = entries.withColumn("file", F.col("_metadata.file_name")).join(counting, "run_id", "left_semi")
+        if goes_on:
+            fresh = counting.join(store.read("runs", version), "run_id", "left_anti").withColumn("fresh", F.lit(True))
+            added = sorted({unquote(p.rsplit("/", 1)[-1]) for p in now_there if p not in known})
+            kept = kept.join(fresh, "run_id", "left").where(F.col("fresh") | F.col("file").isin(added))
+        state = incremental.state_of(kept, "path", ["size", "modified"], {"hash": diff.bare_hash(kept["hash"])}, latest=["marked_at", "run_id"])
+        if goes_on:
+            state = incremental.merged(store.read("state", version), state)
+        inputs = spark.createDataFrame(sorted(now_there.items()), "path string, mark string")
+        try:
+            store.commit({"state": state, "runs": counting, "inputs": inputs}, version)
+        except incremental.StateConflict:
+            continue
 
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +96,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.new_or_changed(files, state, "path", ["size", "modified"], {"hash": diff.bare_hash(files["hash"])}).select("file_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p6_found": p6_found, "p7_found": p7_found}
+def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that three runs process one after another: what was indexed when the last run finished, then all files, then all again."""
+    files = table(spark, sf_dir, "files")
+    finished = table(spark, sf_dir, "index_runs").where("status = 'completed'").agg(F.max("finished_at")).first()[0]
+    store = incremental.StateStore(spark, scratch(spark, "runs"))
+    early = files.where(F.col("indexed_at") <= F.lit(finished).cast("timestamp"))
+    done = None
+    for n, seen in enumerate((early, files, files), 1):
+        took = incremental.run_once(seen, store, "path", ["size", "modified"], {"hash": diff.bare_hash})
+        counted, _ = written(took.agg(F.lit(n).alias("run"), F.count_distinct("file_id").alias("files")), "run")
+        done = counted if done is None else done.unionByName(counted)
+    return done
+
+
+QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p6_found": p6_found, "p7_found": p7_found, "p7_runs": p7_runs}
 
 _SIDES = r"""
 WITH proof AS (
@@ -100,6 +148,11 @@ seen AS (SELECT *, max(hi) OVER (PARTITION BY image ORDER BY lo, hi ROWS BETWEEN
 runs AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY image ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM seen)
 SELECT image, 'covered' AS kind, min(lo) AS start_offset, max(hi) AS end_offset FROM runs GROUP BY image, run
 UNION ALL SELECT image, 'gap', before, lo FROM seen WHERE lo > before""",
+    "p7_runs": """
+WITH seen AS (SELECT file_id, coalesce(indexed_at <= (SELECT max(finished_at) FROM index_runs WHERE status = 'completed'), false) AS early FROM files)
+SELECT 1 AS run, count(DISTINCT file_id) AS files FROM seen WHERE early
+UNION ALL SELECT 2, count(DISTINCT file_id) FROM seen WHERE NOT early
+UNION ALL SELECT 3, 0""",
     "p7_found": """
 WITH RECURSIVE ok AS (
   SELECT run_id FROM index_runs WHERE status = 'completed'

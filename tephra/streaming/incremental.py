@@ -29,17 +29,18 @@ def incremental_index(scans: DataFrame, out: str, state: str, checkpoint: str, f
     def upsert(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         store = incremental.StateStore(spark, state)
-        before = store.read()
+        version = store.current()
+        before = store.read(version=version)
         done = before.agg(F.max("batch")).first()[0] if before is not None else None
         if done is not None and done >= number:
             return
         known = before.drop("batch") if before is not None else None
         fresh = incremental.new_or_changed(rows, known, "path", list(fields))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        now = incremental.state_of(rows, "path", list(fields), latest=[f for f in fields if f == "modified"])
+        now = incremental.state_of(rows, "path", list(fields), latest=[f for f in fields if f == "modified"]).select("key", "content_hash")
         if known is not None:
             now = known.join(now.select("key"), "key", "left_anti").unionByName(now)
-        store.commit(now.withColumn("batch", F.lit(number).cast("long")))
+        store.commit(now.withColumn("batch", F.lit(number).cast("long")), version)
 
     return scans.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

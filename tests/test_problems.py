@@ -134,9 +134,60 @@ def test_new_and_changed_rows(spark):
 
 def test_state_versions_swap_whole(spark, tmp_path):
     store = incremental.StateStore(spark, f"file://{tmp_path}/state")
-    assert store.current() is None and store.read() is None
+    assert store.current() == 0 and store.read() is None
     frame = lambda n: spark.range(n).select(F.col("id").alias("key"))
-    assert store.commit(frame(3)) == "v0000000001"
-    spark.range(9).write.parquet(f"{tmp_path}/state/v0000000002")  # a run that died before the swap
+    assert store.commit(frame(3), 0) == 1
+    spark.range(9).write.parquet(f"{tmp_path}/state/data/0000000002-died/state")  # a run that died before its claim
     assert store.read().count() == 3
-    assert store.commit(frame(5)) == "v0000000002" and store.read().count() == 5
+    # Two writers follow version 1: one wins, the other is told, and nothing of it stays.
+    other = incremental.StateStore(spark, f"file://{tmp_path}/state")
+    assert store.commit(frame(5), 1) == 2 and store.read().count() == 5
+    with pytest.raises(incremental.StateConflict):
+        other.commit(frame(7), 1)
+    assert store.read().count() == 5 and store.read(version=1).count() == 3
+    assert store.commit({"state": frame(6), "more": frame(1)}, 2) == 3 and store.read("more").count() == 1
+    with pytest.raises(incremental.StateConflict):
+        other.commit(frame(7), 0)  # its number has expired, but the state has moved on
+    assert store.current() == 3 and sorted(int(p.name[:10]) for p in (tmp_path / "state" / "data").iterdir()) == [2, 3]
+    with pytest.raises(Exception):
+        incremental.StateStore(spark, "s3a://bucket/state")
+
+
+def test_runs_follow_each_other(spark, tmp_path, monkeypatch):
+    store = incremental.StateStore(spark, f"file://{tmp_path}/state")
+    frame = lambda *data: spark.createDataFrame([(*x, T, 1, 2, 3, 4) for x in data], ENTRY)
+    run = lambda df: sorted((r["path"], r["size"]) for r in incremental.run_once(df, store, "path", ["size", "modified"], {"hash": diff.bare_hash}).collect())
+    one, two, three = ("a", 1, T, "h"), ("b", 1, None, None), ("c", 5, T, "x")
+    assert run(frame(one, two, two)) == [("a", 1), ("b", 1)]
+    changed = frame(one[:3] + (" H ",), ("b", 2, None, None), three)
+    # A run that is killed after its rows are written, before the claim, leaves all to do for the next.
+    with monkeypatch.context() as m:
+        m.setattr(store, "_claim", lambda *x: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            run(changed)
+    assert store.current() == 1
+    assert run(changed) == [("b", 2), ("c", 5)]
+    assert run(changed) == [] and store.read().count() == 3
+    assert run(changed.limit(0)) == [] and store.read().count() == 3
+
+
+def test_kept_state_is_read_and_moved_on(spark, tmp_path):
+    from tephra.plans import problems
+
+    files = [(i, f"p{i}", i, T, "h") for i in range(6)]
+    folder = lambda n, rows, schema: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/{n}.parquet")
+    folder("files", files, "file_id long, path string, size long, modified timestamp, hash string")
+    runs, marks = "run_id long, status string, resumed_from long", "run_id long, path string, size long, modified timestamp, hash string, marked_at timestamp"
+    folder("index_runs", [(1, "completed", None), (2, "crashed", None)], runs)
+    folder("checkpoint_entries", [(1, "p0", 0, T, "H", T), (1, "p1", 9, T, "h", T), (2, "p2", 2, T, "h", T)], marks)
+    found = lambda: sorted(r[0] for r in problems.p7_found(spark, str(tmp_path)).collect())
+    commits = []
+    whole = incremental.StateStore.commit
+    incremental.StateStore.commit = lambda self, *a, **k: commits.append(a[1]) or whole(self, *a, **k)
+    try:
+        assert found() == [1, 2, 3, 4, 5] == found() and commits == [0]  # the second time the kept state is read
+        folder("index_runs", [(3, "completed", 2)], runs)
+        folder("checkpoint_entries", [(3, "p3", 3, T, None, T), (1, "p1", 1, T, "h", T + dt.timedelta(1))], marks)
+        assert found() == [4, 5] and commits == [0, 1]
+    finally:
+        incremental.StateStore.commit = whole
