@@ -60,3 +60,17 @@ def fitted(width: Column, height: Column, box: int) -> Column:
     scale = F.least(F.lit(float(box)) / F.greatest(width, height), F.lit(1.0))
     side = lambda c: F.greatest(F.floor(c * scale), F.lit(1)).cast("int")
     return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+#: What turns a picture of each EXIF orientation upright: degrees clockwise, then whether it is mirrored left to right.
+UPRIGHT = {1: (0, False), 2: (0, True), 3: (180, False), 4: (180, True), 5: (90, True), 6: (90, False), 7: (270, True), 8: (270, False)}
+
+
+def upright_size(width: int, height: int, orientation_: int) -> tuple[int, int]:
+    """Size of a picture once it stands upright."""
+    return (height, width) if UPRIGHT.get(orientation_, (0, False))[0] in (90, 270) else (width, height)
+
+
+def thumbnail_sizes(sizes: list[int]) -> list[int]:
+    """Sizes of progressive thumbnails, each once, the smallest first."""
+    return sorted({s for s in sizes if s > 0})

@@ -132,3 +132,34 @@ def content_with_prefix(source: Column, kind: Column, index: Column, total: Colu
     """A chunk with a line that says where it comes from; metadata by sorted key."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(F.lit(" | "), e["key"], F.lit(": "), e["value"])), "")
     return F.concat(F.format_string("File: %s | Type: %s | Chunk: %d/%d | Bytes: %d-%d", source, kind, index + 1, total, start, end), F.coalesce(pairs, F.lit("")), F.lit("\n---\n"), content)
+
+
+def utc_text(at: Column) -> Column:
+    """``2031-01-02 03:04:05 UTC``, whatever the session's zone."""
+    return F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def case_number(at: Column) -> Column:
+    """``DD-20310102-0304``: a case number from a time in UTC."""
+    return F.concat(F.lit("DD-"), F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyyMMdd-HHmm"))
+
+
+def block_count(size: Column, block: int = 4096) -> Column:
+    """Blocks that a file takes up, the last one in part."""
+    return F.floor((size + (block - 1)) / F.lit(block)).cast("long")
+
+
+def throughput(size: Column, milliseconds: Column) -> Column:
+    """Whole bytes a second; 0 where no time has passed."""
+    return F.when(milliseconds > 0, F.floor(size.cast("decimal(20,0)") * 1000 / milliseconds.cast("decimal(20,0)"))).otherwise(0).cast("long")
+
+
+def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
+    """Time that the rest takes at the rate so far; NULL as long as nothing is done."""
+    return F.when(done > 0, F.greatest(total - done, F.lit(0)) * elapsed / done)
+
+
+def size_similarity(size: Column, reference: Column) -> Column:
+    """100 for equal sizes, less by each whole percent the size is away from the reference; 0 at twice the reference."""
+    share = F.least(F.floor(size * 100 / reference), F.lit(255))
+    return F.when(reference <= 0, 0).when(share <= 100, share).otherwise(F.greatest(F.lit(0), 200 - share)).cast("int")

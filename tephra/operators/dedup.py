@@ -115,3 +115,14 @@ def fuzzy_groups(files: DataFrame, threshold: int = 85, min_size: int = 1, exclu
         .where("files > 1")
         .select("norm", "cluster", "files", "similarity", (F.col("all_bytes") - F.col("best.size")).alias("wasted_bytes"), F.col("best.path").alias("master"))
     )
+
+
+def all_groups(exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
+    """Exact and fuzzy groups in one report, the most wasteful first: kind, name, similarity, files, wasted_bytes, master.
+
+    The two are disjoint if the fuzzy groups were made without the members of the exact ones.
+    """
+    columns = ("name", "similarity", "files", "wasted_bytes", "master")
+    one = exact.select(F.lit("exact").alias("kind"), F.col("hash").alias("name"), F.lit(100).alias("similarity"), *columns[2:])
+    two = fuzzy.select(F.lit("fuzzy").alias("kind"), F.concat_ws("#", "norm", "cluster").alias("name"), *columns[1:])
+    return one.unionByName(two).orderBy(F.desc("wasted_bytes"), "kind", "name")

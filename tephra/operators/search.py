@@ -183,3 +183,19 @@ def page(files: DataFrame, number: int, size: int = 50) -> DataFrame:
 def top_kinds(files: DataFrame, n: int = 6) -> DataFrame:
     """The kinds with most files."""
     return summary(files).orderBy(F.desc("files"), "kind").limit(n)
+
+
+def around(rows: DataFrame, order: str, selected, height: int) -> DataFrame:
+    """The ``height`` rows around the selected one, in order, with their number from 0.
+
+    Rows before it are counted by an aggregate and the window is cut by two limits, so nothing is numbered in one task.
+    """
+    before = rows.where(F.col(order) < selected).count()
+    first = max(0, before - height // 2)
+    page_ = rows.orderBy(order).offset(first).limit(height)
+    return page_.withColumn("n", (F.row_number().over(Window.orderBy(order)) + first - 1).cast("int"))
+
+
+def first_by_path(files: DataFrame, n: int = 100) -> DataFrame:
+    """The first files by path, as a scan of sectors takes them."""
+    return files.orderBy("path").limit(n)

@@ -43,3 +43,29 @@ def zero_filled(blocks: DataFrame, bad: DataFrame, file: str, block: str, conten
     marked = blocks.join(bad.select(file, block).distinct().withColumn("__bad", F.lit(True)), [file, block], "left")
     zeros = F.unhex(F.repeat(F.lit("00"), F.octet_length(content)))
     return marked.withColumn(content, F.when(F.col("__bad"), zeros).otherwise(F.col(content))).drop("__bad")
+
+
+def with_bad(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Bad sectors known so far and those found in addition, each once."""
+    return known.unionByName(found).distinct()
+
+
+def replace_bad(known: DataFrame, found: DataFrame, files: DataFrame, file: str) -> DataFrame:
+    """Bad sectors with those of ``files`` replaced by what was found; an empty ``found`` clears them."""
+    return known.join(files.select(file).distinct(), file, "left_anti").unionByName(found.join(files.select(file).distinct(), file, "left_semi")).distinct()
+
+
+def report_text(report: DataFrame) -> DataFrame:
+    """The report of ``bad_report`` as lines to read: ``text``."""
+    return report.select(
+        F.format_string(
+            "Files scanned: %d\nFiles with bad sectors: %d\nBad blocks: %d\nBad bytes: %d",
+            *(F.col(c).cast("long") for c in ("files_scanned", "files_with_bad_sectors", "total_bad_blocks", "total_bad_bytes")),
+        ).alias("text")
+    )
+
+
+def write_report(report: DataFrame, path: str, as_json: bool = True) -> None:
+    """Write the report of ``bad_report``: one JSON document, or lines to read."""
+    out = report.coalesce(1).write.mode("overwrite") if as_json else report_text(report).coalesce(1).write.mode("overwrite")
+    out.json(path) if as_json else out.text(path)

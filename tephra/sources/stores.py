@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import DISK_IMAGES
 from ..operators import proof
+from .sessions import AutoSave
 
 VERSION = 1
 MANIFEST = (
@@ -83,6 +84,35 @@ def mark_processed(rows: DataFrame, path: str, phase: str) -> None:
     rows.select("path", "hash", F.lit(phase).alias("phase"), F.lit(VERSION).alias("version")).write.mode("append").parquet(path)
 
 
+def clear(spark: SparkSession, path: str) -> bool:
+    """Delete a kept table, such as a checkpoint or a search index; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
+class Checkpoint:
+    """Processed paths of a phase that are added one by one and saved every so many, or every so many seconds."""
+
+    def __init__(self, spark: SparkSession, path: str, phase: str, every: int = 100, seconds: float = 30.0):
+        self.spark, self.path, self.phase = spark, path, phase
+        self._auto, self._rows = AutoSave(every, seconds), []
+
+    def mark(self, path: str, digest: str | None = None) -> None:
+        self._rows.append((path, digest))
+        if self._auto.due():
+            self.save()
+
+    def save(self) -> None:
+        if self._rows:
+            mark_processed(self.spark.createDataFrame(self._rows, "path string, hash string"), self.path, self.phase)
+            self._rows = []
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as text: source, text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+
+
 def load_settings(path: str) -> dict:
     """Settings from TOML, with their defaults."""
     settings: dict = {"scan": {"hidden": False, "workers": 8}, "export": {"verify": True, "concurrent": 8}, "search": {"limit": 100}}
