@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -155,8 +156,8 @@ class Darts:
         return math.floor(self.rows + free * p - 3.7 * math.sqrt(free * p * (1 - p)))
 
 
-def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different substrings of ``width`` code points of each lower-cased text, as sorted hashes, and where each text's begin."""
+def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different substrings of ``width`` code points of each lower-cased text, as sorted hashes, where each text's begin, and how often each occurs."""
     low = [t.lower() for t in texts]
     chars = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
     ends = np.cumsum([len(t) for t in low])
@@ -172,8 +173,9 @@ def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     owner, codes = owner[order], codes[order]
     new = np.ones(len(codes), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])
-    owner, codes = owner[new], codes[new]
-    return codes, np.searchsorted(owner, np.arange(len(low) + 1))
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(codes))).astype(np.float64)
+    return codes[first], np.searchsorted(owner[first], np.arange(len(low) + 1)), times
 
 
 #: Rows of one band hash, and pairs of near size among them, that meet directly; more are told apart by further bands.
@@ -252,15 +254,15 @@ def _meeting(far: int, differ: int, last_level: bool):
     return go
 
 
-def _banded(rows: DataFrame, darts: Darts, width: int) -> DataFrame:
+def _banded(rows: DataFrame, darts: Darts, width: int, weighted: bool) -> DataFrame:
     """``kq, id, sketch``: for every band the hash of band and what ``key`` the record came by, above 16 bits of its size."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, starts = shingles(batch.column("text").to_pylist(), width)
-            signature = darts.signatures(codes, starts)
+            codes, starts, times = shingles(batch.column("text").to_pylist(), width)
+            signature = darts.signatures(codes, starts, times if weighted else None)
             hashes = darts.band_hashes(signature)
             q = np.floor(np.log(batch.column("size").to_numpy().astype(np.float64)) / _STEP).astype(np.int64)
             key = _mix(hashes ^ _mix(batch.column("key").to_numpy().astype(_U))[:, None]) >> _U(17)
@@ -280,12 +282,14 @@ def near_classes(
     size_ratio: tuple[int, int] = (9, 10),
     width: int = 3,
     darts: Darts = Darts(),
+    weighted: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Links ``a, b, similarity`` between the representatives of classes, a < b, each once, and ``id, class`` of the members.
 
     A class is all records of equal text (in lower case) and size; its smallest key stands for it, and only classes
     of more than one record have rows among the members, their representative with them. Similarity is the Jaccard
-    similarity of the texts' sets of ``width``-character substrings; sizes must be within ``size_ratio``.
+    similarity of the texts' sets of ``width``-character substrings, or, ``weighted``, of their bags, where each
+    substring weighs as often as it occurs; sizes must be within ``size_ratio``.
 
     Representatives are signed by DartMinHash, and rows of hash of band and size, key, and a sketch of a bit per
     coordinate, 24 bytes without texts, are shuffled by hash, sorted by hash and size, and swept a batch at a time;
@@ -311,7 +315,7 @@ def near_classes(
 
     found, level, left = None, 0, kept.withColumn("key", F.lit(0).cast("long"))
     while left is not None:
-        banded = _banded(left.select("id", "text", "size", "key"), replace(darts, seed=darts.seed + level), width)
+        banded = _banded(left.select("id", "text", "size", "key"), replace(darts, seed=darts.seed + level), width, weighted)
         swept = banded.repartition(F.shiftright("kq", 16)).sortWithinPartitions("kq").mapInArrow(_meeting(far, darts.bits - darts.alike(least), level == LEVELS), "a long, b long, key long")
         seen = Observation()
         out, _ = written(swept.observe(seen, F.count("key").alias("crowded")), "candidates")
@@ -326,16 +330,21 @@ def near_classes(
     small, large = (f("size_a", "size_b").cast("decimal(20,0)") for f in (F.least, F.greatest))
     met = met.where(small * size_ratio[1] >= large * size_ratio[0])
 
+    def parts(text: str):
+        every = (text[i : i + width] for i in range(len(text) - width + 1))
+        return Counter(every) if weighted else set(every)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
             similarity, held, before = np.zeros(len(left)), None, None
             for n, (x, y) in enumerate(zip(left, right)):
                 if y != before:
-                    before, held = y, {y[i : i + width] for i in range(len(y) - width + 1)}
-                s = {x[i : i + width] for i in range(len(x) - width + 1)}
-                common = len(s & held)
-                similarity[n] = common / (len(s) + len(held) - common)
+                    before, held = y, parts(y)
+                s = parts(x)
+                common = (s & held).total() if weighted else len(s & held)
+                total = len(x) + len(y) - 2 * (width - 1) if weighted else len(s) + len(held)
+                similarity[n] = common / (total - common)
             near = np.flatnonzero(similarity >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(near), batch.column("b").take(near), pa.array(similarity[near])], names=["a", "b", "similarity"])
 
@@ -343,7 +352,7 @@ def near_classes(
     return links, members
 
 
-def near_pairs(records: DataFrame, key: str, text: str, size: str | None = None, least: float = 0.75, size_ratio: tuple[int, int] = (9, 10), width: int = 3, darts: Darts = Darts()) -> DataFrame:
+def near_pairs(records: DataFrame, key: str, text: str, size: str | None = None, least: float = 0.75, size_ratio: tuple[int, int] = (9, 10), width: int = 3, darts: Darts = Darts(), weighted: bool = False) -> DataFrame:
     """``key_a, key_b, similarity`` for records whose sizes and texts are near: key_a < key_b, each pair once.
 
     The links of ``near_classes`` with every class replaced by its members, and the pairs within each class. This
@@ -354,7 +363,7 @@ def near_pairs(records: DataFrame, key: str, text: str, size: str | None = None,
     ``width``; repeated rows are one record (of different rows of one key the greatest by text and size); without
     ``size`` every record may pair; keys are whole numbers. Other columns are never read, whatever they are called.
     """
-    links, members = near_classes(records, key, text, size, least, size_ratio, width, darts)
+    links, members = near_classes(records, key, text, size, least, size_ratio, width, darts, weighted)
     kind = dict(records.dtypes)[key]
     of = lambda c: members.select(F.col("class").alias(c), F.col("id").alias(f"id_{c}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"), "similarity")

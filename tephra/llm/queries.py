@@ -116,6 +116,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("file_id_a"), F.col("key_b").alias("file_id_b"))
 
 
+def p5_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p5_found, by the weighted similarity of the bags of substrings: each counts as often as it occurs in a path."""
+    pairs = near_pairs(table(spark, sf_dir, "files"), "file_id", "path", "size", weighted=True, **NEAR_FILES)
+    return pairs.select(F.col("key_a").alias("file_id_a"), F.col("key_b").alias("file_id_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with a near-duplicate, its group and its number of links."""
     return near_groups(table(spark, sf_dir, "files"), "file_id", "path", size="size", **NEAR_FILES)
@@ -125,6 +131,23 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = os.environ.get("TEPHRA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every split text must keep: its characters once, in pieces none of which is over the limit."""
+    cuts = _pieces(spark, sf_dir, with_text=False)
+    settings = table(spark, sf_dir, "swarm_configs").groupBy("source").agg(F.min_by("chunk_size", "config_id").alias("chunk_size"))
+    limits = table(spark, sf_dir, "documents").select("doc_id", "source").join(settings, "source", "left").select("doc_id", F.coalesce("chunk_size", F.lit(1024)).alias("most"))
+    per = cuts.groupBy("doc_id").agg(F.sum(F.col("end_pos") - F.col("fresh_pos")).alias("characters"), F.max("n_bytes").alias("largest"))
+    return per.join(limits, "doc_id").select("doc_id", "characters", (F.col("largest") > F.col("most")).alias("over"))
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: every text of a source, all its characters, and no window over its capacity."""
+    placed = p8_windows(spark, sf_dir)
+    over = placed.groupBy("source", "capacity", "block", "window").agg(F.sum("tokens").alias("tokens")).groupBy("source").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("over"))
+    kept = placed.groupBy("source").agg(F.count_distinct("doc_id").alias("texts"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("characters"))
+    return kept.alias("k").join(over.alias("o"), F.col("k.source").eqNullSafe(F.col("o.source"))).select(F.coalesce("k.source", F.lit("?")).alias("source"), "texts", "characters", "over")
+
+
 def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts, whole or in parts, share which window of context_tokens of their source."""
     settings = table(spark, sf_dir, "swarm_configs").groupBy("source").agg(F.min_by("context_tokens", "config_id").alias("context_tokens"))
@@ -147,7 +170,7 @@ def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", run=60, errors=3)
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edited": p9_edited}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_group_sizes": p3_group_sizes, "p10_found": p10_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_weighted": p5_weighted, "p4_kept": p4_kept, "p8_kept": p8_kept, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_found": p9_found, "p9_edited": p9_edited}
 
 _LINKED = """
 WITH RECURSIVE edges AS (
@@ -157,6 +180,16 @@ reach AS (SELECT a AS file_id, a AS other FROM edges UNION SELECT r.file_id, e.b
 linked AS (SELECT file_id, min(other) AS group_id FROM reach GROUP BY file_id)
 """
 
+_NEAR = """
+WITH RECURSIVE f AS (SELECT DISTINCT file_id, lower(path) AS p, size FROM files WHERE size > 0 AND length(path) >= 3),
+g AS (SELECT file_id, size, floor(ln(size) / 0.106)::INT AS k, list_distinct([substr(p, i, 3) for i in range(1, length(p) - 1)]) AS t FROM f),
+a AS (SELECT file_id, size, k, len(t) AS n, unnest(t) AS w FROM g),
+b AS (SELECT file_id, size, n, w, unnest([k, k + 1]) AS k FROM a),
+c AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS common, any_value(a.n + b.n) AS total FROM a JOIN b ON a.w = b.w AND a.k = b.k
+  WHERE b.size <= a.size AND b.size * 10 >= a.size * 9 AND (b.size < a.size OR a.file_id < b.file_id) GROUP BY 1, 2),
+near AS (SELECT least(x, y) AS a, greatest(x, y) AS b FROM c WHERE common * 4 >= (total - common) * 3)
+"""
+
 SQL = {
     "p1_found": """
 WITH members AS (
@@ -214,14 +247,23 @@ large AS (SELECT * FROM sized WHERE strlen(text) > n),
 longest AS (
   SELECT doc_id, max(strlen(part)) AS bytes FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r。！？]')) AS part FROM large) GROUP BY doc_id)
 SELECT l.doc_id, CASE WHEN g.bytes > l.n THEN 'forced' ELSE 'natural' END AS cut FROM large l JOIN longest g ON g.doc_id = l.doc_id""",
-    "p5_found": """
+    "p5_found": _NEAR + "SELECT a AS file_id_a, b AS file_id_b FROM near",
+    "p5_groups": _NEAR
+    + """, ends AS (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT x, x AS y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON r.y = e.x),
+grouped AS (SELECT x, min(y) AS group_id FROM reach GROUP BY x)
+SELECT g.x AS file_id, n.links, g.group_id FROM grouped g JOIN (SELECT x, count(*) AS links FROM ends GROUP BY x) n ON n.x = g.x""",
+    "p5_weighted": """
 WITH f AS (SELECT DISTINCT file_id, lower(path) AS p, size FROM files WHERE size > 0 AND length(path) >= 3),
-g AS (SELECT file_id, size, floor(ln(size) / 0.106)::INT AS k, list_distinct([substr(p, i, 3) for i in range(1, length(p) - 1)]) AS t FROM f),
-a AS (SELECT file_id, size, k, len(t) AS n, unnest(t) AS w FROM g),
-b AS (SELECT file_id, size, n, w, unnest([k, k + 1]) AS k FROM a),
-c AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS common, any_value(a.n + b.n) AS total FROM a JOIN b ON a.w = b.w AND a.k = b.k
+g AS (SELECT file_id, size, floor(ln(size) / 0.106)::INT AS k, length(p) - 2 AS n, unnest([substr(p, i, 3) for i in range(1, length(p) - 1)]) AS w FROM f),
+a AS (SELECT file_id, size, k, n, w, count(*) AS times FROM g GROUP BY ALL),
+b AS (SELECT file_id, size, n, w, times, unnest([k, k + 1]) AS k FROM a),
+c AS (SELECT a.file_id AS x, b.file_id AS y, sum(least(a.times, b.times)) AS common, any_value(a.n + b.n) AS total FROM a JOIN b ON a.w = b.w AND a.k = b.k
   WHERE b.size <= a.size AND b.size * 10 >= a.size * 9 AND (b.size < a.size OR a.file_id < b.file_id) GROUP BY 1, 2)
-SELECT least(x, y) AS file_id_a, greatest(x, y) AS file_id_b FROM c WHERE common * 4 >= (total - common) * 3""",
+SELECT least(x, y) AS file_id_a, greatest(x, y) AS file_id_b, round(common::DOUBLE / (total - common), 6) AS similarity FROM c WHERE common * 4 >= (total - common) * 3""",
+    "p4_kept": """
+SELECT d.doc_id, length(text) AS characters, false AS over FROM documents d LEFT JOIN swarm_configs c ON d.source = c.source WHERE strlen(text) > coalesce(c.chunk_size, 1024)""",
+    "p8_kept": """SELECT coalesce(source, '?') AS source, count(DISTINCT doc_id) AS texts, sum(length(text))::BIGINT AS characters, 0 AS over FROM documents WHERE text IS NOT NULL GROUP BY source""",
     "p9_found": r"""
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS t FROM documents),
 i AS (SELECT DISTINCT item_id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS t FROM eval_items),

@@ -16,6 +16,11 @@ COLUMNS = {
     "p5_found": ["file_id_a", "file_id_b"],
     "p9_found": ["doc_id", "item_id"],
     "p10_found": ["doc_id", "start_pos", "end_pos"],
+    "p1_survivors": ["group_id", "copies", "master", "created_us", "modified_us", "thumbnail", "hash", "size", "extension", "wasted_bytes"],
+    "p4_kept": ["doc_id", "characters", "over"],
+    "p5_groups": ["file_id", "links", "group_id"],
+    "p5_weighted": ["file_id_a", "file_id_b", "similarity"],
+    "p8_kept": ["source", "texts", "characters", "over"],
 }
 
 

@@ -219,6 +219,18 @@ def test_near_pairs_equal_brute_force(spark, monkeypatch):
     assert near(spark, data) == want
 
 
+def test_weighted_near_pairs_equal_brute_force(spark):
+    from collections import Counter
+
+    r = random.Random(8)
+    data = [(i, "ab" * r.randint(5, 40) + r.choice(["", "xyz", "abab"]) + "q" * r.randint(3, 20), r.choice([100, 104])) for i in range(80)]
+    bag = lambda p: Counter(p[k : k + 3] for k in range(len(p) - 2))
+    alike = lambda p, q: (bag(p) & bag(q)).total() / (bag(p) | bag(q)).total() >= 0.75
+    want = {(i, j) for i, p, s in data for j, q, z in data if i < j and min(s, z) * 10 >= max(s, z) * 9 and alike(p, q)}
+    got = near(spark, data, weighted=True, darts=near_duplicates.Darts(bands=30))
+    assert got <= want and len(got) >= 0.99 * len(want) and want != brute_near(data)
+
+
 def brute_links(data):
     pairs = brute_near(data)
     count, groups = {}, dict(brute_groups(pairs))
