@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mmap
+import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signatures import PARSERS, SIGNATURES, Signature, find_footer, resolved_extension, sniffed
+from ..runtime import written
 
 _CARVED = "offset long, size long, signature_name string, extension string, file_type string, boundary_method string"
 #: Bytes that a block needs past its end, so that the farthest header of a file starting in it is seen.
@@ -30,6 +33,32 @@ class CarveOptions:
         return [s for s in SIGNATURES if not self.types or s.file_type in self.types]
 
 
+class Span:
+    """Part of a mapped file, or of bytes, that parsers read like bytes; what they don't touch isn't read."""
+
+    def __init__(self, data, start: int, size: int):
+        self.data, self.start, self.size = data, start, max(0, min(size, len(data) - start))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __buffer__(self, flags: int) -> memoryview:
+        return memoryview(self.data)[self.start : self.start + self.size]
+
+    def __getitem__(self, key: slice) -> bytes:
+        first, last, _ = key.indices(self.size)
+        return bytes(self.data[self.start + first : self.start + max(first, last)])
+
+    def find(self, part: bytes, first: int = 0) -> int:
+        return self._inside(self.data.find(part, self.start + first, self.start + self.size))
+
+    def rfind(self, part: bytes, first: int = 0, last: int | None = None) -> int:
+        return self._inside(self.data.rfind(part, self.start + first, self.start + (self.size if last is None else min(last, self.size))))
+
+    def _inside(self, at: int) -> int:
+        return at - self.start if at >= 0 else -1
+
+
 def header_hits(data: bytes, base: int, owned: int, options: CarveOptions, signatures: Sequence[Signature]) -> list[tuple[int, int]]:
     """(offset in the image, signature number) of files that start in the first ``owned`` bytes of a block at ``base``.
 
@@ -63,10 +92,11 @@ def header_hits(data: bytes, base: int, owned: int, options: CarveOptions, signa
     return list(zip((places[hit] + base).tolist(), won[hit].tolist()))
 
 
-def resolved_size(data: Callable[[int], bytes], whole: int, s: Signature, offset: int, following: int | None, least: int) -> tuple[int | None, str]:
+def resolved_size(data: Callable[[int], Span], whole: int, s: Signature, offset: int, following: int | None, least: int) -> tuple[int | None, str]:
     """Size and how it was found: by the format itself, a footer before the next header, or the next header.
 
-    ``data(n)`` gives up to ``n`` bytes from the file's start; ``whole`` is the size of the image.
+    ``data(n)`` gives up to ``n`` bytes from the file's start, of which only those looked at are read; ``whole``
+    is the size of the image.
     """
     room = min(s.max_mb << 20, whole - offset)
     if s.parser and (size := PARSERS[s.parser](data(room))) is not None and size >= least and offset + size <= whole:
@@ -91,7 +121,7 @@ def carve_bytes(image: bytes, options: CarveOptions = CarveOptions()) -> list[tu
     out = []
     for (offset, i), following in zip(hits, [*(h[0] for h in hits[1:]), None]):
         s = signatures[i]
-        size, method = resolved_size(lambda n, o=offset: image[o : o + n], len(image), s, offset, following, options.min_size)
+        size, method = resolved_size(lambda n, o=offset: Span(image, o, n), len(image), s, offset, following, options.min_size)
         if size is not None and size >= options.min_size and offset + size <= len(image):
             out.append((offset, size, s.name, _extension(s, image[offset : offset + 300], options), s.file_type, method))
     return out
@@ -107,7 +137,7 @@ def hits(blocks: DataFrame, key: str, content: Column, base: Column, owned: Colu
 
     A block's content goes OVERLAP bytes past the bytes it owns; each hit belongs to the block its file starts
     in. The next hit is known within a block; only the last hit of a block looks at the first ones of later
-    blocks, a window over one row per block.
+    blocks, a window over one row per block. Images are scanned when this function is called.
     """
     signatures = options.signatures()
     rows = blocks.select(F.col(key).alias("key"), content.alias("content"), base.cast("long").alias("base"), owned.cast("long").alias("owned"))
@@ -126,7 +156,8 @@ def hits(blocks: DataFrame, key: str, content: Column, base: Column, owned: Colu
                     out.append((b, at, signatures[s].name, after))
             yield _batch(batch.column("key"), index, out, ["key", "base", "offset", "signature", "following"], [pa.int64(), pa.int64(), pa.string(), pa.int64()])
 
-    found = rows.mapInArrow(scan, f"key {kind}, base long, offset long, signature string, following long")
+    # Images are read once: what is found, which is little beside them, is written and read twice.
+    found, _ = written(rows.mapInArrow(scan, f"key {kind}, base long, offset long, signature string, following long"), "hits")
     firsts = found.groupBy("key", "base").agg(F.min("offset").alias("first"))
     ahead = firsts.withColumn("next_first", F.min("first").over(Window.partitionBy("key").orderBy("base").rowsBetween(1, Window.unboundedFollowing))).select("key", "base", "next_first")
     return found.join(ahead, ["key", "base"]).select(F.col("key").alias(key), "offset", "signature", F.coalesce("following", "next_first").alias("following"))
@@ -150,26 +181,19 @@ def carve_column(images: DataFrame, key: str, content: Column, options: CarveOpt
 
 
 def carve_files(found: DataFrame, path: str, options: CarveOptions = CarveOptions()) -> DataFrame:
-    """Sizes of ``hits`` in image files that the executors can open: each reads only the bytes its file may have."""
+    """Sizes of ``hits`` in image files that the executors can open; images are mapped, so only what parsers look at is read."""
     by_name = {s.name: s for s in options.signatures()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         for batch in batches:
             index, out = [], []
             for i, (p, offset, name, after) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "signature", "following")))):
                 s, whole = by_name[name], os.path.getsize(p)
-                with open(p, "rb") as f:
-
-                    def data(n: int) -> bytes:
-                        f.seek(offset)
-                        return f.read(n)
-
-                    size, method = resolved_size(data, whole, s, offset, after, options.min_size)
+                with open(p, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
+                    size, method = resolved_size(lambda n, m=mapped, o=offset: Span(m, o, n), whole, s, offset, after, options.min_size)
                     if size is not None and size >= options.min_size and offset + size <= whole:
                         index.append(i)
-                        out.append((offset, size, name, _extension(s, data(300), options), s.file_type, method))
+                        out.append((offset, size, name, _extension(s, Span(mapped, offset, 300)[:], options), s.file_type, method))
             yield _batch(batch.column("path"), index, out, ["path", "offset", "size", "signature_name", "extension", "file_type", "boundary_method"], [pa.int64(), pa.int64(), *[pa.string()] * 4])
 
     return found.select(F.col(path).alias("path"), "offset", "signature", "following").mapInArrow(run, f"path string, {_CARVED}").withColumnRenamed("path", path)

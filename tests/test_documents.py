@@ -312,3 +312,10 @@ def test_session_stream(spark, tmp_path):
     q = incremental.session_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "e"))).writeStream.outputMode("update").format("memory").queryName("sessions").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("sessions").collect()) == [("r", 0, 1, False), ("s", 1, 0, True)]
+
+
+def test_spans_read_like_bytes():
+    data = b"0123456789abcabc"
+    s = carve.Span(data, 4, 9)
+    assert len(s) == 9 and s[:] == data[4:13] and s[2:4] == b"67" and s[5:2] == b"" and s.find(b"abc") == 6 and s.find(b"abc", 7) == -1
+    assert s.rfind(b"4") == 0 and s.rfind(b"abc", 0, 8) == -1 and struct.unpack_from("B", s, 1)[0] == ord("5") and len(carve.Span(data, 14, 100)) == 2
