@@ -44,13 +44,46 @@ def carve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carve.hits(_images(spark, sf_dir), "doc_id", F.col("content"), F.lit(0), F.octet_length("content")).withColumn("following", F.coalesce("following", F.lit(-1)))
 
 
-@_query(None)
+@_query(
+    """SELECT doc_id, 0 AS "offset", strlen(text) + 6 AS size, 'JPEG' AS signature_name, 'jpg' AS extension, 'Image' AS file_type, 'FooterScan' AS boundary_method
+FROM documents WHERE strlen(text) + 4 >= 64"""
+)
 def carve_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document between the header and the footer of a JPEG, with what else starts at a sector inside it."""
     whole = F.concat(F.unhex(F.lit("FFD8FFE0")), F.col("content"), F.unhex(F.lit("FFD9")))
     return carve.carve_column(_images(spark, sf_dir).where("content IS NOT NULL"), "doc_id", whole, carve.CarveOptions(min_size=64))
 
 
+#: Images of so many bytes with parts (offset, hex) in them.
+_CASES = {
+    "footer": (4096, [(0, "FFD8FFE0"), (2000, "FFD9")]),
+    "size field": (8192, [(0, "424D00040000")]),
+    "next header": (8192, [(0, "FFD8FFE0"), (4096, "FFD8FFE0"), (6000, "FFD9")]),
+    "wave": (2048, [(0, "52494646F401000057415645")]),
+    "avi": (2048, [(0, "52494646F401000041564920")]),
+    "chunks": (2048, [(0, "89504E470D0A1A0A0000000D49484452"), (33, "0000006449444154"), (145, "0000000049454E44")]),
+    "end record": (2048, [(0, "504B0304"), (500, "504B0506"), (520, "0700")]),
+    "too small": (64, [(0, "FFD8FFE0"), (20, "FFD9")]),
+    "nothing": (65536, []),
+}
+
+
+@_query(
+    """SELECT * FROM (VALUES ('footer', 0, 2002, 'jpg', 'FooterScan'), ('size field', 0, 1024, 'bmp', 'InternalSize'), ('next header', 0, 4096, 'jpg', 'NextHeader'), ('next header', 4096, 1906, 'jpg', 'FooterScan'),
+('wave', 0, 508, 'wav', 'InternalSize'), ('avi', 0, 508, 'avi', 'InternalSize'), ('chunks', 0, 157, 'png', 'InternalSize'), ('end record', 0, 529, 'docx', 'InternalSize')) v(image, "offset", size, extension, boundary_method)"""
+)
+def carve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way to find a size, on small images made for it."""
+    rows = []
+    for name, (size, parts) in _CASES.items():
+        content = bytearray(size)
+        for at, part in parts:
+            content[at : at + len(part) // 2] = bytes.fromhex(part)
+        rows.append((name, content))
+    images = spark.createDataFrame(rows, "image string, content binary")
+    return carve.carve_column(images, "image", F.col("content"), carve.CarveOptions(aligned=False, min_size=100)).select("image", "offset", "size", "extension", "boundary_method")
+
+
 @_query("SELECT DISTINCT carve_id, printf('%08d_%012x.%s', carve_id, byte_offset, coalesce(extension, 'bin')) AS name FROM carved_files WHERE byte_offset IS NOT NULL")
 def carve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "carved_files").where("byte_offset IS NOT NULL")
