@@ -45,8 +45,13 @@ def carve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT doc_id, 0 AS "offset", strlen(text) + 6 AS size, 'JPEG' AS signature_name, 'jpg' AS extension, 'Image' AS file_type, 'FooterScan' AS boundary_method
-FROM documents WHERE strlen(text) + 4 >= 64"""
+    f"""WITH {_SIGNATURES},
+img AS (SELECT doc_id, 'FFD8FFE0' || hex(encode(text)) || 'FFD9' AS h FROM documents WHERE text IS NOT NULL),
+pos AS (SELECT doc_id, h, unnest(range(512, length(h) // 2, 512)) AS p FROM img),
+inner_hit AS (SELECT doc_id, min(p) AS p FROM pos JOIN sig ON substr(h, 2 * (p + off) + 1, length(header)) = header GROUP BY doc_id)
+SELECT doc_id, 0 AS "offset", coalesce(p, length(h) // 2) AS size, 'JPEG' AS signature_name, 'jpg' AS extension, 'Image' AS file_type,
+  CASE WHEN p IS NULL THEN 'FooterScan' ELSE 'NextHeader' END AS boundary_method
+FROM img LEFT JOIN inner_hit USING (doc_id) WHERE p IS NOT NULL OR length(h) // 2 - 2 >= 64"""
 )
 def carve_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document between the header and the footer of a JPEG, with what else starts at a sector inside it."""
