@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors of an Arrow list column as rows of a matrix; those of another size, or with NULLs, are zero."""
+    sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    flat = vectors.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    if flat.null_count:
+        values = np.where(flat.is_valid().to_numpy(zero_copy_only=False), values, np.nan)
+    out = np.zeros((len(vectors), width))
+    fits = np.flatnonzero(sizes == width) if width else np.zeros(0, np.int64)
+    starts = (np.cumsum(sizes) - sizes)[fits]
+    out[fits] = values[starts[:, None] + np.arange(width)]
+    out[np.isnan(out).any(axis=1)] = 0
+    return out
+
+
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """``query, key, similarity, rank``: the ``k`` rows of greatest cosine for every query, ties to the smaller key.
 
@@ -45,8 +60,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
                 if not batch.num_rows:
                     continue
                 keys = np.array(batch.column("key").to_pylist())
-                raw = batch.column("vector").to_pylist()
-                s = q @ unit(np.array([v if v is not None and len(v) == width else [0.0] * width for v in raw], np.float64)).T
+                s = q @ unit(_matrix(batch.column("vector"), width)).T
                 s[ids[:, None] == keys[None, :]] = -np.inf
                 near = np.round(s, 9)  # sums in another order mustn't decide between equals
                 take = min(k, s.shape[1])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digests, pictures, texts, vectors
-from ..operators import dedup, search, sectors, text_search, totals
+from ..operators import dedup, search, sectors, state, text_search, totals
 from ..runtime import table
 from . import index_queries, record_queries, text_queries
 
@@ -249,3 +249,28 @@ def zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upright_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A picture of 40 by 30 in each orientation."""
     return spark.createDataFrame([(o, *pictures.upright_size(40, 30, o)) for o in range(1, 9)], "orientation int, width int, height int")
+
+
+@_query(text_queries._TOKENS + "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT term) FROM tok) AS terms, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS embeddings")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, different terms and vectors of a search index."""
+    docs = table(spark, sf_dir, "documents")
+    return text_search.index_statistics(docs, "doc_id", "text", F.when(F.col("text").isNotNull(), vectors.hash_embedding(F.col("text"), 8)).otherwise(F.array().cast("array<double>")))
+
+
+_RUNS = "FROM (SELECT DISTINCT run_id, status FROM index_runs WHERE status IN ('failed', 'crashed'))"
+
+
+@_query(
+    f"""SELECT result, retries_left, count(*) AS entries FROM (
+SELECT 'Healed' AS result, 2 AS retries_left {_RUNS} WHERE status = 'failed' AND run_id % 2 = 0
+UNION ALL SELECT 'Skipped', 3 {_RUNS} WHERE status = 'failed' AND run_id % 2 = 1
+UNION ALL SELECT CASE WHEN n < 3 THEN 'Retrying' ELSE 'Failed' END, CASE WHEN n < 3 THEN 2 - n ELSE 0 END FROM (SELECT run_id {_RUNS} WHERE status = 'crashed'), (SELECT unnest(range(4)) AS n)) GROUP BY 1, 2"""
+)
+def heal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed runs tried again: timeouts are mended, refused permissions skipped, refused connections stay; log entries counted."""
+    runs = table(spark, sf_dir, "index_runs").where("status IN ('failed', 'crashed')").select("run_id", "status").distinct()
+    error = F.when(F.col("status") == "crashed", "connection refused").when(F.col("run_id") % 2 == 0, "timed out").otherwise("Permission denied")
+    failures = runs.select(F.lit("Scan").alias("agent"), F.col("run_id").cast("string").alias("source"), error.alias("error"), F.lit(3).alias("retries_left"))
+    log = state.heal(failures, lambda agent, source, repair: None if repair == "timeout" else "connection refused", pause=lambda seconds: None)
+    return log.groupBy("result", "retries_left").agg(F.count("*").alias("entries"))

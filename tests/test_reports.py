@@ -120,3 +120,52 @@ def test_scalars_of_odd_values(spark):
 def test_texts_are_read_whole(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     assert stores.read_texts(spark, f"{tmp_path}/a.txt").first()["text"] == "one\ntwo"
+
+
+def test_a_deep_tree_is_many_tasks(spark, tmp_path):
+    from tephra.sources import directory
+
+    for i in range(4):
+        for j in range(5):
+            (tmp_path / "one" / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / "one" / f"d{i}" / f"e{j}" / "f.txt").write_text("x")
+    (tmp_path / "one" / "top.txt").write_text("x")
+    reader = directory.DirectoryReader({"path": str(tmp_path), "tasks": "8"})
+    parts = reader.partitions()
+    assert len(parts) == 1 + 1 + 4 + 20
+    whole = sorted(r[0] for p in parts for r in reader.read(p))
+    assert whole == sorted({*whole}) and len(whole) == 21
+    for tasks in ("1", "2", "1000"):
+        other = directory.DirectoryReader({"path": str(tmp_path), "tasks": tasks})
+        assert sorted(r[0] for p in other.partitions() for r in other.read(p)) == whole
+    scanned = directory.scan(spark, str(tmp_path)).withColumn("read_error", F.when(F.col("path").endswith("top.txt"), "io error"))
+    assert [(r["agent"], r["retries_left"]) for r in directory.failures(scanned).collect()] == [("Scan", 3)]
+
+
+def test_streams_tell_their_progress(spark, tmp_path):
+    import time
+
+    from tephra.streaming import progress
+
+    told, ended = [], []
+    listener = progress.listen(spark, lambda *x: told.append(x), lambda *x: ended.append(x))
+    try:
+        spark.range(5).write.parquet(f"{tmp_path}/in")
+        rows = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        rows.writeStream.format("memory").queryName("told").trigger(availableNow=True).start().awaitTermination()
+        until = time.time() + 20
+        while not ended and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told and told[-1][0] == "told" and told[-1][2] == 5 and ended == [("told", None)]
+
+
+def test_vectors_of_arrow_lists_become_a_matrix():
+    import pyarrow as pa
+
+    from tephra.operators.nearest import _matrix
+
+    got = _matrix(pa.array([[1.0, 2.0], None, [3.0], [], [4.0, None], [5.0, 6.0]]).slice(0), 2)
+    assert got.tolist() == [[1, 2], [0, 0], [0, 0], [0, 0], [0, 0], [5, 6]]
+    assert _matrix(pa.array([[9.0], [1.0, 2.0], [3.0, 4.0]]).slice(1), 2).tolist() == [[1, 2], [3, 4]]
