@@ -120,7 +120,7 @@ def hybrid(docs: DataFrame, key: str, text: str, query: str, vector: Column, que
     if age_hours is not None:
         found = found.join(docs.select(key, age_hours.alias("age_hours")), key).withColumn("score", F.col("score") * texts.recency_factor(F.col("age_hours"))).drop("age_hours")
     if limit is not None:
-        found = found.orderBy(F.desc("score"), key).limit(limit)
+        found = found.orderBy(F.desc(F.round("score", 9)), key).limit(limit)  # sums in another order mustn't decide between equals
     content = docs.select(key, texts.snippet(F.col(text), words).alias("snippet"), texts.matched_terms(F.col(text), words).alias("matched_terms"))
     return found.join(content, key)
 

@@ -83,10 +83,23 @@ def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")))
 
 
-@_query(None)
+@_query(
+    _KEYWORDS
+    + _HASHED
+    + """, scored AS (SELECT doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(vector_score, 0) AS vector_score,
+  coalesce(keyword_score, 0) * 0.3::DOUBLE + coalesce(vector_score, 0) * 0.7::DOUBLE AS score FROM kw FULL JOIN (SELECT * FROM vec WHERE vector_score > 0) USING (doc_id)),
+top AS (SELECT doc_id, keyword_score, vector_score, score * (1.0::DOUBLE + 0.1::DOUBLE / (1.0::DOUBLE + 30 / 24.0::DOUBLE)) AS score FROM scored WHERE score >= 0.1 ORDER BY round(score, 9) DESC, doc_id LIMIT 100),
+placed AS (SELECT top.*, d.text, lower(d.text) AS low,
+  coalesce(least(nullif(instr(lower(d.text), 'partial'), 0), nullif(instr(lower(d.text), 'index'), 0), nullif(instr(lower(d.text), 'retry'), 0)) - 1, 0) AS place FROM top JOIN documents d USING (doc_id)),
+cut AS (SELECT *, greatest(place - 75, 0) AS a FROM placed)
+SELECT doc_id, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, round(score, 6) AS score,
+CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text, a + 1, 150) || CASE WHEN a + 150 < length(text) THEN '...' ELSE '' END AS snippet,
+concat_ws(',', CASE WHEN contains(low, 'partial') THEN 'partial' END, CASE WHEN contains(low, 'index') THEN 'index' END, CASE WHEN contains(low, 'index') THEN 'index' END, CASE WHEN contains(low, 'retry') THEN 'retry' END) AS matched_terms FROM cut"""
+)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report with snippets."""
-    return text_search.hybrid(_docs(spark, sf_dir), "doc_id", "text", _QUERY, vectors.hash_embedding(F.col("text"), 32), vectors.hash_embedding(F.lit(_QUERY), 32), age_hours=F.lit(30.0))
+    found = text_search.hybrid(_docs(spark, sf_dir), "doc_id", "text", _QUERY, vectors.hash_embedding(F.col("text"), 32), vectors.hash_embedding(F.lit(_QUERY), 32), age_hours=F.lit(30.0))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("keyword_score", "vector_score", "score")), "snippet", "matched_terms")
 
 
 @_query(
