@@ -61,7 +61,7 @@ def _latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     entries, runs = table(spark, sf_dir, "checkpoint_entries"), table(spark, sf_dir, "index_runs")
     now_there = _inputs(spark, entries, runs)
-    store = incremental.StateStore(spark, f"{shared_folder(spark)}/tephra-state/{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    store = incremental.StateStore(spark, f"{shared_folder(spark)}/tephra-state/v1/{hashlib.md5(sf_dir.encode()).hexdigest()}")
     while True:
         version = store.current()
         known = {r["path"]: r["mark"] for r in store.read("inputs", version).collect()} if version else {}
